@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quern.llm import substring_dedup
+from quern.llm import simhash_dedup, substring_dedup
 
 QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
 }
 
 SQL: dict[str, str] = {}
