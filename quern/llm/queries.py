@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import simhash_dedup, substring_dedup
+from quern.llm import decontaminate, simhash_dedup, substring_dedup, token_files
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
+    "op9_token_files": token_files.op9_token_files,
 }
 
 SQL: dict[str, str] = {}
