@@ -7,6 +7,8 @@ cutoff. The cutoff is certified if P(Binomial(n, risk) <= k) <= level, the exact
 test of "it rejects more than `risk` of the good texts". Cutoffs are tested from
 lenient to strict, up to the first failure (fixed-sequence testing), and the
 level of each stratum and rule is `delta` divided by their number (Bonferroni).
+Of the certified cutoffs, which hold together, that one comes into force that
+rejects the most bad labelled texts net of good ones; the lenient one of equals.
 So with probability 1 - delta no rule in any stratum rejects more than its share
 of the good texts, and a stratum's rules together no more than `max_rejection`.
 A stratum with too few good texts certifies nothing, and rejects nothing.
@@ -134,32 +136,40 @@ def _strictness(rule: Rule, m: str = "m") -> Column:
     return sum((F.when(low > c * high, 0).otherwise(1) for c in rule.cutoffs), F.lit(0))
 
 
-def certified_cutoffs(holdout: DataFrame, max_rejection: float = 0.02, delta: float = 0.05, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(stratum, rule, used): how many cutoffs of each rule, from the lenient end, are certified.
+def certified_cutoffs(holdout: DataFrame, max_rejection: float = 0.03, delta: float = 0.05, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(stratum, rule, used): how many cutoffs of each rule, from the lenient end, are in force.
 
-    `holdout` has a row for each good text: stratum and m, its measures.
+    `holdout` has a row for each labelled text: stratum, good and m, its measures.
     """
     risk = max_rejection / len(rules)
     lists = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(len(r.cutoffs)).alias("size"), _strictness(r).alias("free")) for i, r in enumerate(rules)]))
-    counts = written(holdout.select("stratum", lists.alias("x")).groupBy("stratum", "x.rule", "x.size", "x.free").count(), "holdout")
-    tests = max(1, counts.select("stratum").distinct().count()) * len(rules)
-    totals = counts.groupBy("stratum", "rule", "size").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("free", "count"))).alias("by"))
+    sums = [F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")]
+    counts = written(holdout.select("stratum", "good", lists.alias("x")).groupBy("stratum", "x.rule", "x.size", "x.free").agg(*sums), "holdout")
+    tests = max(1, counts.where("good > 0").select("stratum").distinct().count()) * len(rules)
+    totals = counts.groupBy("stratum", "rule", "size").agg(F.sum("good").alias("n"), F.collect_list(F.struct("free", "good", "bad")).alias("by"))
     steps = totals.select("stratum", "rule", "n", "by", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("step"))
-    rejected = F.aggregate(F.map_entries("by"), F.lit(0).cast("long"), lambda acc, e: acc + F.when(e["key"] <= F.col("step"), e["value"]).otherwise(F.lit(0).cast("long")))
-    judged = steps.select("stratum", "rule", "step", _tails(rejected, F.col("n"), F.lit(risk)).alias("tail"))
-    failing = judged.groupBy("stratum", "rule").agg(F.min(F.when(F.col("tail") > delta / tests, F.col("step"))).alias("first"), F.count(F.lit(1)).alias("size"))
-    return failing.select("stratum", "rule", F.coalesce("first", F.col("size")).cast("int").alias("used"))
 
+    def rejected(kind: str) -> Column:
+        none = F.lit(0).cast("long")
+        return F.aggregate("by", none, lambda acc, e: acc + F.when(e["free"] <= F.col("step"), e[kind]).otherwise(none))
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", max_rejection: float = 0.02, delta: float = 0.05, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    tested = steps.select("stratum", "rule", "n", "step", rejected("good").alias("k"), rejected("bad").alias("caught"))
+    judged = tested.select("stratum", "rule", "step", "k", "caught", _tails("k", "n", F.lit(risk)).alias("tail"))
+    failing = judged.groupBy("stratum", "rule").agg(F.min(F.when(F.col("tail") > delta / tests, F.col("step"))).alias("first"), F.collect_list(F.struct((F.col("caught") - F.col("k")).alias("net"), (-F.col("step")).alias("lenient"), "step")).alias("all"))
+    certified = F.filter("all", lambda x: F.col("first").isNull() | (x["step"] < F.col("first")))
+    best = F.array_max(certified)
+    return failing.select("stratum", "rule", F.when(best["net"] > 0, best["step"] + 1).otherwise(0).alias("used"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", max_rejection: float = 0.03, delta: float = 0.05, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`docs` with structs: m (measures) and verdict (base_failed, rejected_by, kept)."""
     held = [F.col(c) for c in docs.columns]
     if {"m", "verdict"} & set(docs.columns):
         raise ValueError("m and verdict are names of the result")
     measured = docs.withColumn("m", _measures(F.col(text_col).cast("string")))
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").alias("id"))
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good")).withColumnRenamed("doc_id", "id")
     sample = written(measured.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), "m").where(~base_failed()), "measures")
-    cutoffs = certified_cutoffs(sample.join(good, "id", "left_semi"), max_rejection, delta, rules)
+    cutoffs = certified_cutoffs(sample.join(known, "id"), max_rejection, delta, rules)
     used = written(cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "used"))).alias("used")), "cutoffs").withColumnRenamed("stratum", "__stratum")
     rejects = [F.when(_strictness(r) < F.coalesce(F.element_at("used", F.lit(i)), F.lit(0)), F.lit(r.name)) for i, r in enumerate(rules)]
     joined = measured.join(used, F.col(stratum_col).eqNullSafe(F.col("__stratum")), "left")
