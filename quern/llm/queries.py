@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, quality_rules, simhash_dedup, substring_dedup, token_files
+from quern.llm import decontaminate, mixing, quality_rules, secret_scan, simhash_dedup, substring_dedup, token_files
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
     "op9_token_files": token_files.op9_token_files,
+    "op10_mix": mixing.op10_mix,
 }
 
 SQL: dict[str, str] = {}
