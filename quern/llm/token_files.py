@@ -26,9 +26,11 @@ hashes; an empty table gives no shards; other columns are not used.
 from __future__ import annotations
 
 import math
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,7 @@ MAGIC = b"QTOKENS1"
 TRAILER = struct.Struct("<8sQQQII")
 BLOCK_IDS = 1 << 16
 SHARD_BYTES = 24 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def min_bits(vocabulary: int) -> int:
@@ -162,8 +164,17 @@ class Encoder:
     there, and the pieces' ids kept. Where a space is followed by white space or
     nothing, no cut is made. Texts with a special token's string go to the
     library whole, as do all texts under another pre-tokenizer.
+
+    A piece of letters, digits, ASCII punctuation and single line breaks goes
+    straight to the library's merge model. The pre-tokenizer would cut it where
+    letters, digits, punctuation and breaks meet; if no token of the vocabulary
+    reaches over such a place, which is looked up once, no merge does, and the
+    model gives the same ids without the cuts.
     """
 
+    _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+    _SIMPLE = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+(?:\n[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+)*")
+
     _own: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -175,13 +186,15 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size()
-        self.dtype = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
+        self.dtype, self.code = ("<u2", "H") if self.vocabulary <= 1 << 16 else ("<u4", "I")
         spec = json.loads(self.library.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.cuts = plain and not any(" " in t for t in self.special)
         self.after: dict[str, bytes] = {}
+        self.visible = dict(zip([*range(33), *range(127, 161), 173], range(256, 324), strict=True))  # the bytes that byte-level tokens write as other characters
+        self.direct = self.cuts and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not any(self._reaches_over(t) for t in self.library.get_vocab(False))
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -189,6 +202,31 @@ class Encoder:
             cls._own[path] = cls(path)
         return cls._own[path]
 
+    def _reaches_over(self, token: str) -> bool:
+        back = {chr(v): chr(k) for k, v in self.visible.items()}
+        text = "".join(back.get(c, c) for c in token).removeprefix(" ")
+        raw = bytes(map(ord, text)) if all(ord(c) < 256 for c in text) else b"'"
+        if b"'" in raw or not re.fullmatch(rb"[\x80-\xbf]?(?:[\x00-\x7f]|\xc3[\x80-\xbf])*\xc3?", raw):  # in no simple piece
+            return False
+        return len({"break" if c == "\n" else "digit" if c in "0123456789" else "letter" if c.isascii() and c.isalpha() or ord(c) > 127 else "other" for c in text}) > 1
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a space before them."""
+        out: list[bytes] = [b""] * len(words)
+        rest, tokenize, simple, visible = [], self.library.model.tokenize, self._SIMPLE.fullmatch, self.visible
+        for i, word in enumerate(words):
+            if self.direct and simple(word):
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(visible)
+                elif "\n" in word:
+                    word = word.translate(visible)
+                out[i] = array(self.code, [t.id for t in tokenize("\u0120" + word)]).tobytes()
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._encode([" " + words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -203,11 +241,9 @@ class Encoder:
         words: set[str] = set()
         for parts in cut.values():
             words.update(parts[1:])
-        unknown = [w for w in words.difference(self.after) if w and not w[0].isspace() and w[0] != "᠎"]
-        if len(self.after) > CACHE_WORDS:
-            self.after.clear()
-            unknown = [w for w in words if w and not w[0].isspace() and w[0] != "᠎"]
-        self.after.update(zip(unknown, self._encode([" " + w for w in unknown]), strict=True))
+        unknown = [w for w in words.difference(self.after) if w and not w[0].isspace() and w[0] != "\u180e"]
+        full = len(self.after) > CACHE_WORDS
+        self.after.update(zip(unknown, self._encode_words(unknown), strict=True))
         heads, out = [], [b""] * len(texts)
         tails: dict[int, list[bytes]] = {}
         odd: list[tuple[int, int, str]] = []
@@ -236,6 +272,9 @@ class Encoder:
             out[i] = ids + b"".join(tails[i])
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
+        if full:  # what came first is what is frequent
+            for word in unknown:
+                del self.after[word]
         return out
 
 
