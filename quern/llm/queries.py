@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, mixing, quality_rules, secret_scan, simhash_dedup, substring_dedup, token_files
+from quern.llm import decontaminate, mixing, quality_rules, secret_scan, simhash_dedup, substring_dedup, token_files, url_reputation
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,8 +10,11 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
+    "op8_url_reputation": url_reputation.op8_url_reputation,
     "op9_token_files": token_files.op9_token_files,
     "op10_mix": mixing.op10_mix,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_url_reputation": url_reputation.SQL,
+}
