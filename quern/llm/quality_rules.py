@@ -168,7 +168,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         raise ValueError("m and verdict are names of the result")
     measured = docs.withColumn("m", _measures(F.col(text_col).cast("string")))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good")).withColumnRenamed("doc_id", "id")
-    sample = written(measured.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), "m").where(~base_failed()), "measures")
+    sample = written(measured.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), "m"), "measures").where(~base_failed())
     cutoffs = certified_cutoffs(sample.join(known, "id"), max_rejection, delta, rules)
     used = written(cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "used"))).alias("used")), "cutoffs").withColumnRenamed("stratum", "__stratum")
     rejects = [F.when(_strictness(r) < F.coalesce(F.element_at("used", F.lit(i)), F.lit(0)), F.lit(r.name)) for i, r in enumerate(rules)]
