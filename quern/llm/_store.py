@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -39,3 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def exactly_once(rows: DataFrame, keep: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are in `keep`, one for each key; `repeated` says where there are more."""
+    once = rows.join(keep.where(~F.col("repeated")).drop("repeated"), keys)
+    if not keep.where("repeated").limit(1).count():
+        return once
+    return once.unionByName(rows.join(keep.where("repeated").drop("repeated"), keys).dropDuplicates(keys))

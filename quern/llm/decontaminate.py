@@ -198,6 +198,47 @@ def _count_words(texts: pa.Array) -> pa.Array:
     return pa.array(find_words(ASCII_LOWER[data], offsets, ALPHANUMERIC).counts, pa.int64())
 
 
+def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """The texts without the words of their spans and what lies between those."""
+    texts = as_text(texts)
+    data, offsets = byte_view(texts)
+    parts = []
+    for lo, hi in slices(offsets):
+        part = data[offsets[lo] : offsets[hi]]
+        words = find_words(ASCII_LOWER[part], offsets[lo : hi + 1] - offsets[lo], ALPHANUMERIC)
+        raw = part.tobytes()
+        for i, own in enumerate(spans[lo:hi].to_pylist()):
+            out, at = [], int(offsets[lo + i] - offsets[lo])
+            for s in own or []:
+                first = int(words.first[i])
+                out.append(raw[at : words.starts[first + s["start"]]])
+                at = int(words.ends[first + s["end"] - 1])
+            out.append(raw[at : int(offsets[lo + i + 1] - offsets[lo])])
+            parts.append(b"".join(out).decode())
+    return pa.array(parts, pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    return cut(texts, spans)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str = "n_chars", max_items: int = 1) -> DataFrame:
+    """`docs` without texts that hold over `max_items` items, and without the hit words of the others.
+
+    A text of which nothing but hit words is left goes too. Texts without hits stay
+    as they are.
+    """
+    found = with_hits(docs, benchmark, "__found", text_col)
+    n_items, n_hit = F.size("__found.items"), F.col("__found.n_hit")
+    kept = found.where((n_items <= max_items) & ((n_hit == 0) | (n_hit < F.col("__found.n_words"))))
+    # only few texts have hits, but a Python function under a condition runs on every row: give it empty texts for the rest
+    shortened = _cut(F.when(n_hit > 0, F.col(text_col).cast("string")).otherwise(F.lit("")), "__found.hits")
+    text = F.when(n_hit > 0, shortened).otherwise(F.col(text_col))
+    columns = [text.alias(c) if c == text_col else F.when(n_hit > 0, F.char_length(shortened).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == chars_col else F.col(c) for c in docs.columns]
+    return kept.select(*columns)
+
+
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm._store import written
+from quern.llm._store import exactly_once, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 4096
@@ -171,6 +171,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return counts.join(shown, "rank").select(F.col("unit.id").alias(id_col), F.col("unit.key").alias("digest"), "size", "source", "source_size", "target", "copies")
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """`docs` as mixed: each row as often as it is taken."""
+    counts = mix(docs, id_col, text_col, source_col)
+    keep = written(counts.groupBy("digest").agg(F.sum("copies").alias("__copies"), (F.count(F.lit(1)) > 1).alias("repeated")).where("__copies > 0").withColumnRenamed("digest", "__key"), "copies")
+    rows = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    taken = exactly_once(rows, keep, ["__key"])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+
+
 def op10_mix(spark, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quern.llm._components import components
-from quern.llm._store import shuffle_partitions, written
+from quern.llm._store import exactly_once, shuffle_partitions, written
 from quern.llm._text import ASCII_LOWER, NON_SPACE, as_text, byte_view, find_words, mix, slices
 
 RADIUS, BITS = 4, 64
@@ -256,6 +256,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """`docs` with one row of each group: that with the smallest id, null last.
+
+    Rows that are equal throughout count once. Texts are shuffled once.
+    """
+    text = F.col(text_col).cast("string")
+    keys = [F.xxhash64(F.col(id_col), text).alias("__key"), F.hash(text, F.col(id_col)).alias("__hash")]
+    rows = written(docs.select(F.col(id_col).alias("id"), *keys, fingerprint(text_col).alias("fp")), "fingerprints")
+    groups = link_groups(rows, radius)
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__key", "__hash")).alias("row")
+    smallest = rows.groupBy("fp").agg(first)
+    known = smallest.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = known.groupBy("root").agg(F.min("row").alias("row")).select("row.__key", "row.__hash")
+    times = rows.groupBy("__key", "__hash").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    keep = written(chosen.join(times, ["__key", "__hash"]), "kept")
+    return exactly_once(docs.select("*", *keys), keep, ["__key", "__hash"]).select(*docs.columns)
+
+
 def op7_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
