@@ -1,14 +1,59 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+Every stage takes (spark, docs, sf_dir); docs are the rows that the stage before
+has kept, read back from Parquet. All stages but the last return the columns of
+documents; the last returns one row per document of the token files.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm import decontaminate, mixing, quality_rules, simhash_dedup, token_files
 from quern.llm._store import written
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the base rules or a certified rule rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.judge(docs.select(*COLUMNS), labels).where("verdict.kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group."""
+    return simhash_dedup.one_of_each(docs.select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents; cuts the passage out of those that hold a single item."""
+    return decontaminate.decontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the balanced sample does."""
+    return mixing.mixed(docs.select(*COLUMNS))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token files, and returns what they hold of each document."""
+    return token_files.read_token_files(token_files.write_token_files(docs, token_files.tokenizer_path()))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("simhash_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixture),
+    ("token_files", tokens),
+]
+
+#: Hashes of shingles, the balanced sample and the tokenizer are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
