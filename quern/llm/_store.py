@@ -44,6 +44,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def exactly_once(rows: DataFrame, keep: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose keys are in `keep`, one for each key; `repeated` says where there are more."""
+    keep = keep.hint("merge")  # what is kept grows with the corpus
     once = rows.join(keep.where(~F.col("repeated")).drop("repeated"), keys)
     if not keep.where("repeated").limit(1).count():
         return once

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes that belong to a word when words are split at ASCII white space.
 NON_SPACE = np.ones(256, dtype=bool)

@@ -158,7 +158,7 @@ def _block_udf(spark, rows: list, window: int, gram: int):
     def hits(texts: pa.Array) -> pa.Array:
         return find_hits(texts, shared.value)
 
-    return hits
+    return hits.asNondeterministic()  # else a filter on the hits is pushed below, and they are searched twice
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "found", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
