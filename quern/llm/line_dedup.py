@@ -93,7 +93,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     per_text = written(per_text.where("hits > 0").withColumnsRenamed({"key": "__key", "key2": "__key2"}), "per-text")
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"), F.hash(text, F.col(id_col)).alias("key2"))
-    joined = base.join(per_text, (F.col("key") == F.col("__key")) & (F.col("key2") == F.col("__key2")), "left")
+    # merged at every size: a broadcast would depend on how much of the corpus repeats
+    joined = base.join(per_text.hint("merge"), (F.col("key") == F.col("__key")) & (F.col("key2") == F.col("__key2")), "left")
     if per_text.where("times > 1").limit(1).count():  # equal rows share a key: number them
         turn = F.row_number().over(Window.partitionBy("key", "key2").orderBy("key"))
         joined = joined.withColumn("turn", turn)
