@@ -1,6 +1,547 @@
-"""All queries of the engine by name, and the same in SQL."""
+"""All queries of the engine by name, and the same in SQL for DuckDB.
+
+Inputs are the driver's tables: the texts of documents and conversations and the
+html of pages as files, columns of events, orders and lineitem as table columns,
+the urls of pages as paths. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import numbers, paths, payload
+from quern.operators import chunking, codecs, columns, constraints
+from quern.operators.ordered import TotalOrder
+from quern.plans import measure, migration, store
+from quern.sources import files as sources
+from quern.sources.staging import written
+
+CHUNK = 4096
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    return sources.text_files(table(spark, sf_dir, "documents"), "documents", "doc_id", "text")
+
+
+def pages(spark, sf_dir) -> DataFrame:
+    return sources.text_files(table(spark, sf_dir, "pages"), "pages", "page_id", "html")
+
+
+def refs(spark, sf_dir) -> DataFrame:
+    return chunking.split_chunks(documents(spark, sf_dir), CHUNK)
+
+
+# --- chunks ------------------------------------------------------------------
+
+_FILES = "files AS (SELECT 'documents/' || doc_id AS path, encode(text) AS content, octet_length(encode(text)) AS size FROM documents)"
+_REFS = f"""{_FILES},
+hexed AS (SELECT path, size, hex(content) AS h FROM files),
+refs AS (SELECT path, n AS ordinal, sha256(unhex(substr(h, 1 + n * {2 * CHUNK}, {2 * CHUNK}))) AS chunk_id, least({CHUNK}, size - n * {CHUNK})::BIGINT AS raw_size
+  FROM (SELECT *, unnest(range((size + {CHUNK} - 1) // {CHUNK})) AS n FROM hexed))"""
+_OWNERS = f"""{_REFS}, chunks AS (SELECT chunk_id, raw_size, path AS first_path, ordinal AS first_ordinal FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY path, ordinal) AS k FROM refs) WHERE k = 1)"""
+_USE = f"{_REFS}, used AS (SELECT chunk_id, count(*) AS uses FROM refs GROUP BY chunk_id)"
+
+
+@query("chunk_refs", f"WITH {_REFS} SELECT path, ordinal, chunk_id, raw_size FROM refs")
+def chunk_refs(spark, sf_dir):
+    return refs(spark, sf_dir)
+
+
+@query("chunk_owners", f"WITH {_OWNERS} SELECT chunk_id, raw_size, first_path, first_ordinal FROM chunks")
+def chunk_owners(spark, sf_dir):
+    return chunking.owners(refs(spark, sf_dir))
+
+
+@query("chunk_reuse", f"WITH {_REFS} SELECT path, ordinal, chunk_id, raw_size, row_number() OVER (PARTITION BY chunk_id ORDER BY path, ordinal) > 1 AS reused FROM refs")
+def chunk_reuse(spark, sf_dir):
+    return chunking.mark_reuse(refs(spark, sf_dir)).select("path", "ordinal", "chunk_id", "raw_size", "reused")
+
+
+@query("chunk_use", f"WITH {_USE} SELECT chunk_id, uses FROM used")
+def chunk_use(spark, sf_dir):
+    return chunking.chunk_use(refs(spark, sf_dir))
+
+
+@query("dedup_report", f"WITH {_REFS}, u AS (SELECT chunk_id, count(*) AS uses, max(raw_size) AS raw_size FROM refs GROUP BY chunk_id) SELECT sum(uses)::BIGINT AS chunk_count, count(*) AS unique_chunk_count, sum(uses - 1)::BIGINT AS reused_count, sum(uses * raw_size)::BIGINT AS raw_bytes, sum(raw_size)::BIGINT AS unique_bytes FROM u")
+def dedup_report(spark, sf_dir):
+    return chunking.dedup_report(refs(spark, sf_dir))
+
+
+@query("used_chunks_by_source", f"WITH {_USE}, named AS (SELECT 'documents/' || doc_id AS path, source FROM documents) SELECT source, count(*) AS chunk_count, count(DISTINCT chunk_id) AS unique_chunk_count, count_if(uses > 1)::BIGINT AS shared_count FROM refs JOIN used USING (chunk_id) JOIN named USING (path) GROUP BY source")
+def used_chunks_by_source(spark, sf_dir):
+    named = table(spark, sf_dir, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), "source")
+    r = written(refs(spark, sf_dir), "refs")
+    per = r.join(chunking.chunk_use(r), "chunk_id").join(named, "path").groupBy("source", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.max("uses").alias("uses"))
+    return per.groupBy("source").agg(F.sum("n").alias("chunk_count"), F.count(F.lit(1)).alias("unique_chunk_count"), F.coalesce(F.sum(F.when(F.col("uses") > 1, F.col("n"))), F.lit(0)).cast("long").alias("shared_count"))
+
+
+def _stored(spark, sf_dir):
+    """Files, references and chunks as if every chunk were stored as it is."""
+    f = documents(spark, sf_dir).select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("hash"), F.lit("store").alias("preferred_codec"))
+    r = written(refs(spark, sf_dir), "refs")
+    return f, r, chunking.owners(r).select("chunk_id", "first_path", "first_ordinal", "raw_size", F.col("raw_size").alias("packed_size"), F.lit("store").alias("codec"))
+
+
+@query(
+    "list_rows",
+    f"""WITH {_USE}, per AS (SELECT path, round(sum(raw_size / uses), 6) AS packed_contribution, bool_or(uses > 1) AS deduplicated, count(*) AS chunk_count FROM refs JOIN used USING (chunk_id) GROUP BY path)
+SELECT path, size::BIGINT AS size, coalesce(packed_contribution, 0.0) AS packed_contribution, 'store' AS preferred_codec, CASE WHEN chunk_count > 0 THEN 'store' ELSE '' END AS actual_codecs, coalesce(deduplicated, false) AS deduplicated, coalesce(chunk_count, 0) AS chunk_count, left(sha256(content), 12) AS hash FROM files LEFT JOIN per USING (path)""",
+)
+def list_rows(spark, sf_dir):
+    return chunking.list_rows(*_stored(spark, sf_dir))
+
+
+@query(
+    "inspect_report",
+    f"""WITH {_OWNERS}, t AS (SELECT (SELECT count(*) FROM files) AS file_count, (SELECT sum(size) FROM files)::BIGINT AS original_size, (SELECT count(*) FROM refs) AS chunk_count, (SELECT count(*) FROM chunks) AS unique_chunk_count, (SELECT sum(raw_size) FROM chunks)::BIGINT AS payload_size)
+SELECT *, 16 + 56 * unique_chunk_count AS container_overhead, round(payload_size / original_size, 9) AS compression_ratio FROM t""",
+)
+def inspect_report(spark, sf_dir):
+    return chunking.inspect(*_stored(spark, sf_dir))
+
+
+_OFFSETS = f"{_OWNERS}, placed AS (SELECT *, (16 + coalesce(sum(56 + raw_size) OVER (ORDER BY first_path, first_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM chunks)"
+
+
+@query("chunk_offsets", f'WITH {_OFFSETS} SELECT chunk_id, raw_size AS packed_size, "offset" FROM placed')
+def chunk_offsets(spark, sf_dir):
+    return chunking.chunk_offsets(_stored(spark, sf_dir)[2]).select("chunk_id", "packed_size", "offset")
+
+
+@query("span_violations", f"""WITH {_OFFSETS}, moved AS (SELECT chunk_id, raw_size, "offset" + CASE WHEN first_ordinal = 1 THEN 1 ELSE 0 END AS "offset" FROM placed), seen AS (SELECT *, lag("offset" + 56 + raw_size) OVER (ORDER BY "offset", chunk_id) AS before FROM moved) SELECT chunk_id, 'span does not follow the one before' AS problem FROM seen WHERE "offset" <> coalesce(before, 16)""")
+def span_violations(spark, sf_dir):
+    """Every second chunk of a file is moved by a byte, to have something to find."""
+    placed = chunking.chunk_offsets(_stored(spark, sf_dir)[2])
+    return chunking.span_violations(placed.withColumn("offset", F.col("offset") + F.when(F.col("first_ordinal") == 1, 1).otherwise(0)))
+
+
+@query("file_hash", f"WITH {_FILES} SELECT path, size::BIGINT AS size, sha256(content) AS hash FROM files WHERE size > 0")
+def file_hash(spark, sf_dir):
+    """Hashes of files from their chunks, streamed in order."""
+    return chunking.file_digests(chunking.split_chunks(documents(spark, sf_dir), CHUNK, keep_bytes=True))
+
+
+@query("reconstruct", f"WITH {_FILES} SELECT path, size::BIGINT AS size, sha256(content) AS hash FROM files WHERE size > 0")
+def reconstruct(spark, sf_dir):
+    """Contents put together from distinct chunks."""
+    r = written(chunking.split_chunks(documents(spark, sf_dir), CHUNK, keep_bytes=True), "refs")
+    distinct = r.groupBy("chunk_id").agg(F.first("raw").alias("raw"))
+    back = chunking.ordered_bytes(r.select("path", "ordinal", "chunk_id").join(distinct, "chunk_id"))
+    return back.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("hash"))
+
+
+@query("whole_file_dups", f"WITH {_FILES} SELECT sha256(content) AS hash, count(*) AS copies, min(path) AS first_path, max(size)::BIGINT AS size FROM files GROUP BY 1 HAVING count(*) > 1")
+def whole_file_dups(spark, sf_dir):
+    f = documents(spark, sf_dir).select(F.sha2("content", 256).alias("hash"), "path", F.octet_length("content").cast("long").alias("size"))
+    return f.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min("path").alias("first_path"), F.max("size").alias("size")).where("copies > 1")
+
+
+@query("reference_check", f"WITH {_REFS}, firsts AS (SELECT DISTINCT chunk_id FROM refs WHERE ordinal = 0) SELECT path, count(*) AS missing FROM refs WHERE chunk_id NOT IN (SELECT chunk_id FROM firsts) GROUP BY path")
+def reference_check(spark, sf_dir):
+    """References to chunks outside of an index of all first chunks: an anti-join."""
+    r = written(refs(spark, sf_dir), "refs")
+    return r.join(r.where("ordinal = 0").select("chunk_id").distinct(), "chunk_id", "left_anti").groupBy("path").agg(F.count(F.lit(1)).alias("missing"))
+
+
+# --- columns -----------------------------------------------------------------
+
+
+
+def events(spark, sf_dir) -> DataFrame:
+    """events as texts, with a boolean, a 0/1 and a sparse column; ordered by event_id."""
+    e = table(spark, sf_dir, "events")
+    value = F.col("value")
+    return e.select(
+        "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("string").alias("ts"), F.col("user_id").cast("string").alias("user_id"), "event_type",
+        F.when(value > 50, "true").otherwise("false").alias("flag"), (F.col("user_id") % 2).cast("string").alias("odd"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).otherwise("").alias("sparse"),
+    )
+
+
+_E = "e AS (SELECT event_id, epoch_us(ts)::VARCHAR AS ts, user_id::VARCHAR AS user_id, event_type, CASE WHEN value > 50 THEN 'true' ELSE 'false' END AS flag, (user_id % 2)::VARCHAR AS odd, CASE WHEN event_id % 3 > 0 THEN event_type ELSE '' END AS sparse FROM events)"
+
+
+def _infer_sql(cte: str, source: str, ordinal: str, names: list[str], time_field: str | None = None) -> str:
+    """The whole of inference for some columns of one table of texts."""
+    parts = []
+    for i, name in enumerate(names):
+        v = f'"{name}"'
+        parts.append(f"""SELECT {i} AS position, '{name}' AS name, count(*) AS "rows", count({v}) AS present, count(DISTINCT {v}) AS "distinct",
+ coalesce(bool_and(lower({v}) IN ('true', 'false', '0', '1')), false) AS b, coalesce(bool_and(regexp_matches({v}, '{numbers.INTEGER}')), false) AS i, coalesce(bool_and(regexp_matches({v}, '{numbers.FLOAT}')), false) AS f,
+ coalesce(bool_and(n >= p OR p IS NULL), true) AS up FROM (SELECT *, lag(n) OVER (ORDER BY o) AS p FROM (SELECT {ordinal} AS o, nullif({v}, '') AS {v}, CASE WHEN regexp_matches({v}, '{numbers.INTEGER}') THEN try_cast({v} AS DECIMAL(38,0)) END AS n FROM {source} WHERE {v} <> ''))""")
+    time_type = f"WHEN name = '{time_field}' THEN CASE WHEN i THEN 'timestamp' ELSE 'timestamp-text' END" if time_field else ""
+    return f"""WITH {cte}, p AS ({" UNION ALL ".join(parts)}), total AS (SELECT count(*) AS all_rows FROM {source}), t AS (SELECT *, CASE {time_type} WHEN b THEN 'boolean' WHEN i THEN 'integer' WHEN f THEN 'float' ELSE 'string' END AS type FROM p)
+SELECT position, name, type, CASE type WHEN 'timestamp' THEN 'delta' WHEN 'timestamp-text' THEN 'dictionary' WHEN 'boolean' THEN 'bit-pack' WHEN 'float' THEN 'ieee-754' WHEN 'integer' THEN CASE WHEN up THEN 'delta' ELSE 'plain' END
+ ELSE CASE WHEN present > 0 AND "distinct" <= greatest(16, present // 4) THEN 'dictionary' WHEN present > 2 AND "distinct" < present * 3 // 4 THEN 'rle' ELSE 'plain' END END AS encoding, all_rows AS "rows", present, "distinct" FROM t, total"""
+
+
+_EVENT_COLUMNS = ["ts", "user_id", "event_type", "flag", "odd", "sparse"]
+
+
+@query("infer_types_events", _infer_sql(_E, "e", "event_id", _EVENT_COLUMNS, "ts"))
+def infer_types_events(spark, sf_dir):
+    return columns.infer(events(spark, sf_dir), "event_id", _EVENT_COLUMNS, "ts")
+
+
+_ORDER_COLUMNS = ["key", "customer", "status", "priority", "day"]
+
+
+@query("infer_types_orders", _infer_sql("o AS (SELECT o_orderkey, o_orderkey::VARCHAR AS key, o_custkey::VARCHAR AS customer, o_orderstatus AS status, o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)", "o", "o_orderkey", _ORDER_COLUMNS))
+def infer_types_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("key"), F.col("o_custkey").cast("string").alias("customer"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return columns.infer(o, "o_orderkey", _ORDER_COLUMNS)
+
+
+_LINE_COLUMNS = ["part", "supplier", "line", "flag", "status"]
+
+
+@query("infer_types_lineitem", _infer_sql("l AS (SELECT row_number() OVER (ORDER BY ALL) AS o, l_partkey::VARCHAR AS part, l_suppkey::VARCHAR AS supplier, l_linenumber::VARCHAR AS line, l_returnflag AS flag, l_linestatus AS status FROM lineitem)", "l", "o", _LINE_COLUMNS).replace("ORDER BY ALL", "ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"))
+def infer_types_lineitem(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    numbered = TotalOrder(l, *order).row_number("o").rows()
+    texts = numbered.select("o", *[F.col(c).cast("string").alias(n) for c, n in zip(("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"), _LINE_COLUMNS, strict=True)])
+    return columns.infer(texts, "o", _LINE_COLUMNS)
+
+
+_PACK = "SELECT (i // 8)::BIGINT AS byte, sum(CASE WHEN f THEN 1 << (i % 8)::INT ELSE 0 END)::INT AS value FROM x GROUP BY 1"
+
+
+@query("null_bitmap", f"WITH {_E}, x AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, sparse = '' AS f FROM e) {_PACK}")
+def null_bitmap(spark, sf_dir):
+    return columns.null_bitmap(events(spark, sf_dir), "event_id", "sparse")
+
+
+@query("bit_pack", f"WITH {_E}, x AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, flag = 'true' AS f FROM e) {_PACK}")
+def bit_pack(spark, sf_dir):
+    return columns.bit_pack(events(spark, sf_dir), "event_id", "flag")
+
+
+@query("bit_pack_orders", f"WITH x AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderstatus = 'O' AS f FROM orders) {_PACK}")
+def bit_pack_orders(spark, sf_dir):
+    return columns.pack_bits(TotalOrder(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey").row_number("i").rows(), "i", F.col("o_orderstatus") == "O")
+
+
+@query("bit_unpack", f"WITH {_E} SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, flag = 'true' AS flag FROM e")
+def bit_unpack(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return columns.unpack_bits(columns.bit_pack(e, "event_id", "flag"), e.count())
+
+
+_STEPS = "n AS (SELECT event_id AS ordinal, epoch_us(ts) AS n FROM events), d AS (SELECT *, n - lag(n) OVER (ORDER BY ordinal) AS d FROM n), dd AS (SELECT *, d - lag(d) OVER (ORDER BY ordinal) AS dd FROM d)"
+
+
+def _ts(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", "ts")
+
+
+@query("delta", f"WITH {_STEPS} SELECT ordinal, n, d FROM dd")
+def delta(spark, sf_dir):
+    return columns.differences(_ts(spark, sf_dir), "event_id", "ts").rows().select("ordinal", "n", "d")
+
+
+@query("delta_of_delta", f"WITH {_STEPS} SELECT ordinal, n, d, dd FROM dd")
+def delta_of_delta(spark, sf_dir):
+    return columns.differences(_ts(spark, sf_dir), "event_id", "ts").rows().select("ordinal", "n", "d", "dd")
+
+
+@query("undelta", "SELECT event_id AS ordinal, epoch_us(ts) AS n FROM events")
+def undelta(spark, sf_dir):
+    steps = columns.differences(_ts(spark, sf_dir), "event_id", "ts").rows()
+    first = steps.where("d IS NULL").agg(F.max("n")).first()[0]
+    return columns.undelta(first, steps.select("ordinal", "d"))
+
+
+@query("undelta_of_delta", "SELECT event_id AS ordinal, epoch_us(ts) AS n FROM events")
+def undelta_of_delta(spark, sf_dir):
+    steps = columns.differences(_ts(spark, sf_dir), "event_id", "ts").rows()
+    first, first_delta = steps.agg(F.max(F.when(F.col("d").isNull(), F.col("n"))), F.max(F.when(F.col("d").isNotNull() & F.col("dd").isNull(), F.col("d")))).first()
+    return columns.undelta_of_delta(first, first_delta, steps.select("ordinal", "dd"))
+
+
+@query(
+    "encoding_choice",
+    """WITH v AS (SELECT 'event_id' AS name, event_id AS o, event_id AS n FROM events UNION ALL SELECT 'ts', event_id, epoch_us(ts) FROM events UNION ALL SELECT 'o_orderkey', o_orderkey, o_orderkey FROM orders),
+d AS (SELECT *, n - lag(n) OVER (PARTITION BY name ORDER BY o) AS d FROM v), dd AS (SELECT *, d - lag(d) OVER (PARTITION BY name ORDER BY o) AS dd FROM d)
+SELECT name, CASE WHEN count(dd) >= 1 AND count(DISTINCT dd) <= greatest(4, count(dd) // 8) THEN 'delta-of-delta' ELSE 'delta' END AS encoding FROM dd GROUP BY name""",
+)
+def encoding_choice(spark, sf_dir):
+    e, o = events(spark, sf_dir), table(spark, sf_dir, "orders")
+    cases = {"event_id": (e.select("event_id", F.col("event_id").alias("n")), "event_id"), "ts": (e.select("event_id", F.col("ts").alias("n")), "event_id"), "o_orderkey": (o.select("o_orderkey", F.col("o_orderkey").alias("n")), "o_orderkey")}
+    return spark.createDataFrame([(name, columns.delta_encoding(columns.differences(df, by, "n").df)) for name, (df, by) in cases.items()], "name string, encoding string")
+
+
+@query("monotonic", "WITH v AS (SELECT 'ts' AS name, event_id AS o, epoch_us(ts) AS n FROM events UNION ALL SELECT 'user_id', event_id, user_id FROM events UNION ALL SELECT 'o_custkey', o_orderkey, o_custkey FROM orders), p AS (SELECT *, lag(n) OVER (PARTITION BY name ORDER BY o) AS p FROM v) SELECT name, bool_and(p IS NULL OR n >= p) AS rising FROM p GROUP BY name")
+def monotonic(spark, sf_dir):
+    e, o = events(spark, sf_dir), table(spark, sf_dir, "orders")
+    cases = {"ts": (e, "event_id"), "user_id": (e, "event_id"), "o_custkey": (o, "o_orderkey")}
+    return spark.createDataFrame([(name, columns.monotonic(df, by, name)) for name, (df, by) in cases.items()], "name string, rising boolean")
+
+
+_DICT = "dict AS (SELECT row_number() OVER (ORDER BY value) - 1 AS code, value FROM (SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderpriority <> ''))"
+
+
+@query("dictionary", f"WITH {_DICT} SELECT code, value FROM dict")
+def dictionary(spark, sf_dir):
+    return columns.dictionary(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("dictionary_encode", f"WITH {_DICT} SELECT o_orderkey AS ordinal, code FROM orders JOIN dict ON value = o_orderpriority")
+def dictionary_encode(spark, sf_dir):
+    return columns.dictionary_encode(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderpriority")
+
+
+@query("dictionary_decode", "SELECT o_orderkey AS ordinal, o_orderpriority AS value FROM orders WHERE o_orderpriority <> ''")
+def dictionary_decode(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    codes = written(columns.dictionary(o, "o_orderpriority"), "dictionary")
+    return columns.dictionary_decode(columns.dictionary_encode(o, "o_orderkey", "o_orderpriority", codes), codes)
+
+
+_RUNS = f"{_E}, s AS (SELECT event_id, sparse, lag(sparse) OVER (ORDER BY event_id) AS before FROM e WHERE sparse <> ''), r AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> sparse THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) - 1 AS run FROM s)"
+
+
+@query("rle_encode", f"WITH {_RUNS} SELECT run::BIGINT AS run, min(event_id) AS start, min(sparse) AS value, count(*) AS length FROM r GROUP BY run")
+def rle_encode(spark, sf_dir):
+    return columns.rle_encode(events(spark, sf_dir), "event_id", "sparse")
+
+
+@query("rle_decode", f"WITH {_E} SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, sparse AS value FROM e WHERE sparse <> ''")
+def rle_decode(spark, sf_dir):
+    return columns.rle_decode(columns.rle_encode(events(spark, sf_dir), "event_id", "sparse"))
+
+
+@query("rle_by_user", "WITH s AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), r AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS run FROM s) SELECT user_id, run::BIGINT AS run, min(event_type) AS value, count(*) AS length FROM r GROUP BY user_id, run")
+def rle_by_user(spark, sf_dir):
+    return columns.rle_encode_by(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query("column_round_trip", f"WITH {_E} SELECT event_id AS ordinal, sparse AS value FROM e")
+def column_round_trip(spark, sf_dir):
+    """A sparse column through runs and back, with its nulls."""
+    e = events(spark, sf_dir).select("event_id", "sparse")
+    return columns.reinsert_nulls(e, "event_id", "sparse", columns.rle_decode(columns.rle_encode(e, "event_id", "sparse")))
+
+
+@query("ieee754")
+def ieee754(spark, sf_dir):
+    """Bytes, value read back and text of all event values."""
+    raw = table(spark, sf_dir, "events").select("event_id", payload.ieee754_bytes("value").alias("raw"))
+    return raw.select("event_id", F.lower(F.hex("raw")).alias("bytes"), payload.float_text(payload.ieee754_values("raw")).alias("text"))
+
+
+@query("ieee754_round_trip", "SELECT event_id, value FROM events")
+def ieee754_round_trip(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", payload.ieee754_values(payload.ieee754_bytes("value")).alias("value"))
+
+
+# --- paths -------------------------------------------------------------------
+
+_PATHS = "p AS (SELECT page_id, regexp_replace(substr(url, instr(url, '://') + 3), '[?#].*$', '') AS path FROM pages)"
+
+
+def url_paths(spark, sf_dir) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.substr(url, F.instr(url, "://") + F.lit(3)), "[?#].*$", "").alias("path"))
+
+
+@query("path_normalize", f"WITH {_PATHS}, x AS (SELECT page_id, path, list_filter(string_split(replace(path, '\\', '/'), '/'), lambda s: s NOT IN ('', '.')) AS parts FROM p) SELECT page_id, array_to_string(parts, '/') AS path FROM x WHERE NOT regexp_matches(path, '^(/|[A-Za-z]:)') AND NOT list_contains(parts, '..') AND len(parts) > 0")
+def path_normalize(spark, sf_dir):
+    return url_paths(spark, sf_dir).select("page_id", paths.normalized(F.col("path")).alias("path")).where("path IS NOT NULL")
+
+
+_SUFFIX = "lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1))"
+_CATEGORY = "CASE " + " ".join(f"WHEN {_SUFFIX} IN ({', '.join(repr(e) for e in ends)}) THEN '{name}'" for name, ends in paths.CATEGORIES.items()) + " ELSE 'other' END"
+
+
+@query("path_category", f"WITH {_PATHS} SELECT page_id, {_CATEGORY} AS category FROM p")
+def path_category(spark, sf_dir):
+    return url_paths(spark, sf_dir).select("page_id", paths.category(F.col("path")).alias("category"))
+
+
+@query("path_excluded", f"WITH {_PATHS} SELECT page_id, path FROM p WHERE list_has_any(string_split(path, '/'), ['*.html', 'fr', 'm.*']) OR regexp_matches(path, '\\.html$') OR regexp_matches(path, '^m\\.')")
+def path_excluded(spark, sf_dir):
+    return url_paths(spark, sf_dir).where(paths.matches(F.col("path"), ["*.html", "fr", "m.*"]))
+
+
+@query("path_collision", f"WITH {_PATHS}, k AS (SELECT lower(path) AS key FROM p) SELECT key, count(*) AS entries FROM k GROUP BY key HAVING count(*) > 1")
+def path_collision(spark, sf_dir):
+    keys = url_paths(spark, sf_dir).select(paths.collision_key(F.col("path"), ascii_only=True).alias("key"))
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1")
+
+
+@query("path_ancestors", f"WITH {_PATHS}, s AS (SELECT page_id, string_split(path, '/') AS parts FROM p), a AS (SELECT parts, unnest(range(1, len(parts))) AS n FROM s) SELECT array_to_string(parts[1:n], '/') AS ancestor, count(*) AS entries FROM a GROUP BY 1")
+def path_ancestors(spark, sf_dir):
+    above = url_paths(spark, sf_dir).select(F.explode(paths.ancestors(F.col("path"))).alias("ancestor"))
+    return above.groupBy("ancestor").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("path_conflicts", f"WITH {_PATHS}, f AS (SELECT DISTINCT rtrim(path, '/') AS path FROM p), s AS (SELECT string_split(path, '/') AS parts FROM f), a AS (SELECT parts, unnest(range(1, len(parts))) AS n FROM s) SELECT DISTINCT array_to_string(parts[1:n], '/') AS path FROM a WHERE array_to_string(parts[1:n], '/') IN (SELECT path FROM f)")
+def path_conflicts(spark, sf_dir):
+    """Paths that are also ancestors of others: an equi-join with exploded ancestors instead of a prefix join."""
+    f = url_paths(spark, sf_dir).select(F.rtrim("path", F.lit("/")).alias("path")).distinct()
+    return f.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct().join(f, "path", "left_semi")
+
+
+_ROOTS = ("tionsh.example.net/es", "blog.tionble.example.com", "m.thther.example.org/en")
+
+
+@query("select_paths", f"WITH {_PATHS} SELECT page_id, path FROM p WHERE " + " OR ".join(f"path = '{r}' OR starts_with(path, '{r}/')" for r in _ROOTS))
+def select_paths(spark, sf_dir):
+    return url_paths(spark, sf_dir).where(paths.selected(F.col("path"), list(_ROOTS)))
+
+
+# --- codecs and datasets -----------------------------------------------------
+
+
+@query("magic_sniff", "SELECT 'pages/' || page_id AS path, starts_with(hex(encode(html)), '89504E470D0A1A0A') OR starts_with(hex(encode(html)), '25504446') OR starts_with(hex(encode(html)), '47494638') OR starts_with(hex(encode(html)), '52494646') OR starts_with(hex(encode(html)), '494433') AS compressed FROM pages")
+def magic_sniff(spark, sf_dir):
+    return pages(spark, sf_dir).select("path", codecs.is_compressed(F.col("content")).alias("compressed"))
+
+
+_SAMPLES = f"own AS (SELECT 'documents/' || doc_id AS path, lang AS category, encode(text) AS content FROM documents), head AS (SELECT path, category, unhex(left(hex(content), {2 * codecs.FILE_SAMPLE_BYTES})) AS head FROM own), s AS (SELECT *, octet_length(head) AS n, coalesce(sum(octet_length(head)) OVER (PARTITION BY category ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM head WHERE octet_length(head) > 0)"
+
+
+def _lang_heads(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    content = F.col("text").cast("binary")
+    return d.select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("category"), F.substring(content, 1, codecs.FILE_SAMPLE_BYTES).alias("head")).where(F.octet_length("head") > 0)
+
+
+@query("dictionary_samples", f"WITH {_SAMPLES} SELECT path, category, least(n, {codecs.CATEGORY_SAMPLE_BYTES} - before)::BIGINT AS sample_bytes FROM s WHERE before < {codecs.CATEGORY_SAMPLE_BYTES}")
+def dictionary_samples(spark, sf_dir):
+    return codecs.bounded_samples(_lang_heads(spark, sf_dir)).select("path", "category", F.octet_length("sample").cast("long").alias("sample_bytes"))
+
+
+@query("dictionary_train")
+def dictionary_train(spark, sf_dir):
+    return codecs.train_dictionaries(codecs.bounded_samples(_lang_heads(spark, sf_dir))).select("category", "dictionary_id", "size")
+
+
+@query("codec_candidates")
+def codec_candidates(spark, sf_dir):
+    return codecs.candidates(documents(spark, sf_dir))
+
+
+@query("codec_choice")
+def codec_choice(spark, sf_dir):
+    return codecs.choose(codecs.candidates(documents(spark, sf_dir), "avoid-zlib"))
+
+
+_SIZES = "c AS (SELECT 'orders/' || o_orderkey AS path, unnest(['store', 'zlib', 'zstd']) AS codec, 20000 + o_orderkey % 5000 AS sample_bytes, unnest([20000 + o_orderkey % 5000, 9000 + o_custkey * 7 % 14000, 9000 + o_custkey * 11 % 14000]) AS packed_bytes FROM orders)"
+
+
+@query(
+    "codec_choice_from_sizes",
+    f"""WITH {_SIZES}, s AS (SELECT *, packed_bytes + CASE codec WHEN 'zstd' THEN 512 WHEN 'zlib' THEN 2048 ELSE 0 END AS score FROM c), b AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score, codec) AS k FROM s)
+SELECT path, CASE WHEN packed_bytes >= sample_bytes - greatest(16, sample_bytes // 100) THEN 'store' ELSE codec END AS codec FROM b WHERE k = 1""",
+)
+def codec_choice_from_sizes(spark, sf_dir):
+    """Choice and fallback over made-up sizes, which SQL can follow."""
+    o = table(spark, sf_dir, "orders")
+    n = F.lit(20000) + F.col("o_orderkey") % 5000
+    sizes = F.explode(F.array(*[F.struct(F.lit(c).alias("codec"), p.cast("long").alias("packed_bytes")) for c, p in (("store", n), ("zlib", F.lit(9000) + F.col("o_custkey") * 7 % 14000), ("zstd", F.lit(9000) + F.col("o_custkey") * 11 % 14000))]))
+    rows = o.select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("path"), n.cast("long").alias("sample_bytes"), sizes.alias("c"))
+    measured = rows.select("path", "c.codec", F.lit(None).cast("int").alias("level"), "sample_bytes", "c.packed_bytes")
+    return codecs.choose(codecs.scored(measured, "avoid-zlib")).select("path", "codec")
+
+
+@query("codec_sweep")
+def codec_sweep(spark, sf_dir):
+    return measure.sweep(documents(spark, sf_dir))
+
+
+def _packed(spark, sf_dir, **options) -> store.Dataset:
+    return store.pack(documents(spark, sf_dir), store.Options(chunk_size=CHUNK, **options))
+
+
+@query("pack_stored", f"WITH {_OWNERS} SELECT chunk_id, 'store' AS codec, raw_size, raw_size AS packed_size FROM chunks")
+def pack_stored(spark, sf_dir):
+    """Packing with a forced codec that SQL can follow."""
+    return _packed(spark, sf_dir, codec="store").chunks.select("chunk_id", "codec", "raw_size", "packed_size")
+
+
+@query("file_records", f"WITH {_FILES} SELECT path, size::BIGINT AS source_size, size::BIGINT AS size, size::BIGINT AS encoded_size, sha256(content) AS hash, sha256(content) AS encoded_hash FROM files")
+def file_records(spark, sf_dir):
+    return _packed(spark, sf_dir, codec="store").files.select("path", "source_size", "size", "encoded_size", "hash", "encoded_hash")
+
+
+@query("pack_extract", f"WITH {_FILES} SELECT path, size::BIGINT AS size, sha256(content) AS hash FROM files")
+def pack_extract(spark, sf_dir):
+    """All files through packing and extraction."""
+    return store.extract(_packed(spark, sf_dir)).select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("hash"))
+
+
+@query("extract_selected", f"WITH {_FILES} SELECT path, sha256(content) AS hash FROM files WHERE path IN ('documents/7', 'documents/21')")
+def extract_selected(spark, sf_dir):
+    return store.extract(_packed(spark, sf_dir, codec="zstd"), ["documents/7", "documents/21"]).select("path", F.sha2("content", 256).alias("hash"))
+
+
+@query("dataset_list", f"WITH {_FILES}, d AS (SELECT path, size::BIGINT AS size, left(sha256(content), 12) AS hash FROM files) SELECT path, size, hash, 'none' AS transformation FROM d")
+def dataset_list(spark, sf_dir):
+    return store.list_files(_packed(spark, sf_dir)).select("path", "size", "hash", "transformation")
+
+
+@query("dataset_inspect")
+def dataset_inspect(spark, sf_dir):
+    return store.inspect_dataset(_packed(spark, sf_dir))
+
+
+@query("dataset_explain")
+def dataset_explain(spark, sf_dir):
+    return store.explain(_packed(spark, sf_dir))
+
+
+@query("violations", "SELECT '' AS rule, '' AS subject, '' AS problem WHERE false")
+def violations(spark, sf_dir):
+    """A sound dataset has none."""
+    return constraints.violations(_packed(spark, sf_dir))
+
+
+@query("verify_full", "SELECT '' AS rule, '' AS subject, '' AS problem WHERE false")
+def verify_full(spark, sf_dir):
+    return constraints.verify(_packed(spark, sf_dir))
+
+
+@query("violations_found", f"WITH {_REFS} SELECT 'V14' AS rule, path AS subject, 'refers to an unknown chunk' AS problem FROM refs WHERE left(chunk_id, 1) = '0'")
+def violations_found(spark, sf_dir):
+    """The unknown references of a dataset that lost a sixteenth of its chunks."""
+    d = _packed(spark, sf_dir, codec="store")
+    lost = d.replaced(chunks=d.chunks.where("left(chunk_id, 1) <> '0'"))
+    return constraints.references(lost).where("problem = 'refers to an unknown chunk'")
+
+
+@query("goal_migration", "SELECT goal, CASE goal WHEN 'fastest' THEN 'prefer-store' WHEN 'fastest-decode' THEN 'prefer-zstd-low' WHEN 'low-memory' THEN 'avoid-zlib' WHEN 'balanced' THEN 'balanced' WHEN 'smallest' THEN 'smallest' END AS migrated FROM (SELECT unnest(['balanced', 'smallest', 'fastest', 'fastest-decode', 'low-memory', 'other']) AS goal)")
+def goal_migration(spark, sf_dir):
+    rows = spark.createDataFrame([(g,) for g in (*migration.GOALS, "other")], "goal string")
+    return rows.select("goal", migration.migrated_goal(F.col("goal")).alias("migrated"))
+
+
+@query("migrate_dataset", f"WITH {_REFS} SELECT path, ordinal, chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY path, ordinal) > 1 AS reused FROM refs")
+def migrate_dataset(spark, sf_dir):
+    """The references of an old dataset with the decisions that migration adds."""
+    return migration.normalize(migration.legacy_of(_packed(spark, sf_dir, codec="store"))).file_chunks.select("path", "ordinal", "chunk_id", "reused")
+
+
+@query("dataset_digest")
+def dataset_digest(spark, sf_dir):
+    return store.table_digest(_packed(spark, sf_dir).files)
+
+
