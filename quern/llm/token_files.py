@@ -32,6 +32,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,8 @@ MAGIC = b"QTOKENS1"
 TRAILER = struct.Struct("<8sQQQII")
 BLOCK_IDS = 1 << 16
 SHARD_BYTES = 24 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
+_ID = attrgetter("id")
 
 
 def min_bits(vocabulary: int) -> int:
@@ -156,6 +158,26 @@ def filesystem(uri: str):
     return FileSystem.from_uri(uri)
 
 
+def _begins_piece(word: str) -> bool:
+    return bool(word) and not word[0].isspace() and word[0] != "\u180e"  # once counted as white space
+
+
+class _Known(dict):
+    """Ids of words that follow a space. What comes first is what is frequent: when full, it stays as it is."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if not _begins_piece(word):
+            raise KeyError(word)
+        ids = self.encode(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Whole texts to ids, by the tokenizers library; words that recur are encoded once.
 
@@ -192,10 +214,12 @@ class Encoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.cuts = plain and not any(" " in t for t in self.special)
-        self.after: dict[str, bytes] = {}
+        self.after = _Known(self._encode_word)
         self.visible = dict(zip([*range(33), *range(127, 161), 173], range(256, 324), strict=True))  # the bytes that byte-level tokens write as other characters
         self.direct = self.cuts and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not any(self._reaches_over(t) for t in self.library.get_vocab(False))
 
+        self.marks = {m: self._merge(m) for m in ".,;:!?"} if self.direct else {}
+
     @classmethod
     def of(cls, path: str) -> Encoder:
         if path not in cls._own:
@@ -210,71 +234,57 @@ class Encoder:
             return False
         return len({"break" if c == "\n" else "digit" if c in "0123456789" else "letter" if c.isascii() and c.isalpha() or ord(c) > 127 else "other" for c in text}) > 1
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of words with a space before them."""
-        out: list[bytes] = [b""] * len(words)
-        rest, tokenize, simple, visible = [], self.library.model.tokenize, self._SIMPLE.fullmatch, self.visible
-        for i, word in enumerate(words):
-            if self.direct and simple(word):
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(visible)
-                elif "\n" in word:
-                    word = word.translate(visible)
-                out[i] = array(self.code, [t.id for t in tokenize("\u0120" + word)]).tobytes()
-            else:
-                rest.append(i)
-        for i, ids in zip(rest, self._encode([" " + words[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+    def _encode_word(self, word: str) -> bytes:
+        """The ids of a word with a space before it; a mark at its end is a piece of its own."""
+        if not self.direct or not (word.isascii() and word.isalpha() or self._SIMPLE.fullmatch(word)):
+            return self._encode([" " + word])[0]
+        bare, mark = word[:-1], word[-1]
+        if mark in ".,;:!?" and bare[-1:].isalpha():
+            return self.after[bare] + self.marks[mark]
+        return self._merge("\u0120" + self._visible(word))
+
+    def _visible(self, word: str) -> str:
+        if not word.isascii():
+            return word.encode().decode("latin-1").translate(self.visible)
+        return word.translate(self.visible) if "\n" in word else word
+
+    def _merge(self, piece: str) -> bytes:
+        return array(self.code, map(_ID, self.library.model.tokenize(piece))).tobytes()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut, whole = {}, []
+        out, whole, heads = [b""] * len(texts), [], []
+        odd: list[tuple[list[bytes], int, str]] = []
+        tails: dict[int, list[bytes]] = {}
+        find = self.after.__getitem__
         for i, text in enumerate(texts):
             if not self.cuts or any(t in text for t in self.special):
                 whole.append(i)
                 continue
-            parts = text.split(" ")
-            cut[i] = parts
-        words: set[str] = set()
-        for parts in cut.values():
-            words.update(parts[1:])
-        unknown = [w for w in words.difference(self.after) if w and not w[0].isspace() and w[0] != "\u180e"]
-        full = len(self.after) > CACHE_WORDS
-        self.after.update(zip(unknown, self._encode_words(unknown), strict=True))
-        heads, out = [], [b""] * len(texts)
-        tails: dict[int, list[bytes]] = {}
-        odd: list[tuple[int, int, str]] = []
-        for i, parts in cut.items():
-            head, rest = parts[0], parts[1:]
+            head, *rest = text.split(" ")
             try:
-                tails[i] = [self.after[w] for w in rest]
-            except KeyError:
-                tails[i] = []
-                pieces = [head]
+                tails[i] = list(map(find, rest))
+            except KeyError:  # somewhere a space is followed by white space or nothing
+                pieces, tails[i] = [head], []
                 for w in rest:
-                    if w in self.after:
-                        pieces.append(" " + w)
+                    if _begins_piece(w):
+                        pieces.append(w)
                     else:
                         pieces[-1] += " " + w
                 head = pieces[0]
-                for k, piece in enumerate(pieces[1:]):
-                    ids = self.after.get(piece[1:])
-                    tails[i].append(ids or b"")
-                    if ids is None:
-                        odd.append((i, k, piece))
+                for w in pieces[1:]:
+                    tails[i].append(b"" if " " in w else find(w))
+                    if " " in w:
+                        odd.append((tails[i], len(tails[i]) - 1, " " + w))
             heads.append((i, head))
-        for (i, k, _), ids in zip(odd, self._encode([p for *_, p in odd]), strict=True):
-            tails[i][k] = ids
+        for (tail, k, _), ids in zip(odd, self._encode([p for *_, p in odd]), strict=True):
+            tail[k] = ids
         for (i, _), ids in zip(heads, self._encode([h for _, h in heads]), strict=True):
             out[i] = ids + b"".join(tails[i])
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        if full:  # what came first is what is frequent
-            for word in unknown:
-                del self.after[word]
         return out
 
 
