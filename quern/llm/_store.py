@@ -1,45 +1,13 @@
-"""Where the operators keep intermediate tables: the folder that the cluster shares."""
+"""Intermediate tables of the operators, and joins that keep rows once."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names.
-
-    Only where it is unset, as in tests on one machine, a temporary folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="quern-")
-    return _LOCAL[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder; this cuts the lineage."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from quern.sources.staging import fresh_path, shared_folder, shuffle_partitions, written
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+__all__ = ["exactly_once", "fresh_path", "shared_folder", "shuffle_partitions", "written"]
 
 
 def exactly_once(rows: DataFrame, keep: DataFrame, keys: list[str]) -> DataFrame:
