@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import numbers
-from quern.operators.ordered import TotalOrder
+from quern.operators.ordered import PART, TotalOrder
 
 ENCODINGS = ("delta", "delta-of-delta", "bit-pack", "dictionary", "rle", "ieee-754", "plain")
 
@@ -65,20 +65,31 @@ def infer(df: DataFrame, ordinal: str, columns: list[str], time_field: str | Non
     decided = decide(profile(df, columns), time_field)
     rows = decided.collect()  # a row per column
     delta = [r["name"] for r in rows if r["encoding"] is None]
-    order = {name: monotonic(df.select(ordinal, F.col(name).cast("string").alias("value")), ordinal) for name in delta}
+    order = monotonic_columns(df, ordinal, delta) if delta else {}
     rising = F.create_map(*[x for name, ok in order.items() for x in (F.lit(name), F.lit(ok))]) if order else None
     encoding = F.col("encoding") if rising is None else F.coalesce("encoding", F.when(F.try_element_at(rising, F.col("name")), "delta").otherwise("plain"))
     return decided.select("position", "name", "type", encoding.alias("encoding"), "rows", "present", "distinct")
 
 
-def _integers(df: DataFrame, ordinal: str, value: str = "value") -> DataFrame:
-    return df.select(F.col(ordinal).alias("ordinal"), non_null(F.col(value).cast("string")).alias("value")).where("value IS NOT NULL").select("ordinal", F.expr("try_cast(value AS decimal(38,0))").alias("n"))
+def monotonic_columns(df: DataFrame, ordinal: str, names: list[str]) -> dict[str, bool]:
+    """Whether the non-null integers of each column never fall; true for an empty one.
+
+    One range sort for all columns: a column rises if it does so within every
+    range, and no range's smallest value lies below the largest of those before.
+    """
+    numbers_of = [F.expr(f"try_cast(`{c}` AS decimal(38,0))").alias(f"n{i}") for i, c in enumerate(names)]
+    ranges = TotalOrder(df.select(F.col(ordinal).alias("__o"), *numbers_of), "__o").df
+    before = Window.partitionBy(PART).orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranges.select(PART, *[x for i in range(len(names)) for x in (F.col(f"n{i}"), F.last(f"n{i}", ignorenulls=True).over(before).alias(f"p{i}"))])
+    per_range = local.groupBy(PART).agg(*[x for i in range(len(names)) for x in (F.coalesce(F.bool_and(F.col(f"n{i}") >= F.col(f"p{i}")), F.lit(True)).alias(f"ok{i}"), F.min(f"n{i}").alias(f"lo{i}"), F.max(f"n{i}").alias(f"hi{i}"))])
+    above = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    joined = per_range.select(*[(F.col(f"ok{i}") & F.coalesce(F.col(f"lo{i}") >= F.max(f"hi{i}").over(above), F.lit(True))).alias(f"ok{i}") for i in range(len(names))])
+    row = joined.agg(*[F.coalesce(F.bool_and(f"ok{i}"), F.lit(True)).alias(f"ok{i}") for i in range(len(names))]).first()
+    return dict(zip(names, map(bool, row), strict=True))
 
 
 def monotonic(df: DataFrame, ordinal: str, value: str = "value") -> bool:
-    """Whether the non-null integers never fall; true for an empty column."""
-    steps = TotalOrder(_integers(df, ordinal, value), "ordinal").lag("n", "before")
-    return bool(steps.df.agg(F.coalesce(F.bool_and(F.coalesce(F.col("n") >= F.col("before"), F.lit(True))), F.lit(True))).first()[0])
+    return monotonic_columns(df, ordinal, [value])[value]
 
 
 # --- delta and delta of delta ------------------------------------------------
