@@ -134,8 +134,14 @@ class _Forest:
         self.parent[roots] = roots[0]
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; the last axis holds the words of a fingerprint."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
 def link(x: np.ndarray, radius: int = RADIUS, leaf: int = 256) -> np.ndarray:
-    """For distinct fingerprints: the position of each one's group, by a vantage-point tree."""
+    """For distinct fingerprints (n, words): the position of each one's group, by a vantage-point tree."""
+    x = x.reshape(len(x), -1)
     forest = _Forest(len(x))
     stack = [(np.arange(len(x)), np.zeros(0, np.int64), 0)]
     while stack:
@@ -147,15 +153,15 @@ def link(x: np.ndarray, radius: int = RADIUS, leaf: int = 256) -> np.ndarray:
                 continue
         if len(home) <= leaf or tries > 4:
             others = np.concatenate([home, query])
-            step = max(1, (1 << 19) // len(others))
+            step = max(1, (1 << 19) // (len(others) * x.shape[1]))
             for k in range(0, len(home), step):
                 rows = home[k : k + step]
-                near = np.bitwise_count(x[rows][:, None] ^ x[others]) <= radius
+                near = _distance(x[rows][:, None], x[others]) <= radius
                 for i in np.flatnonzero(near.sum(axis=1) > 1):
                     forest.union(others[near[i]])
             continue
         v = x[home[(len(home) * (tries + 1)) // 6]]
-        d, dq = np.bitwise_count(x[home] ^ v), np.bitwise_count(x[query] ^ v)
+        d, dq = _distance(x[home], v), _distance(x[query], v)
         forest.union(np.concatenate([home[d <= radius], query[dq <= radius]]))
         mid = int(np.partition(d, len(d) // 2)[len(d) // 2])
         if (d <= mid).all():
@@ -170,13 +176,9 @@ def link(x: np.ndarray, radius: int = RADIUS, leaf: int = 256) -> np.ndarray:
     return forest.find(np.arange(len(x)))
 
 
-def _forest_edges(shard: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of the links within each shard."""
-    order = np.lexsort((x, shard))
-    shard, x = shard[order], x[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (shard[1:] != shard[:-1]) | (x[1:] != x[:-1])
-    shard, x = shard[new], x[new]
+def shard_groups(shard: np.ndarray, x: np.ndarray, radius: int) -> np.ndarray:
+    """For rows sorted by shard, without repeats in one: the position of the first of each one's group in its shard."""
+    x = x.reshape(len(x), -1)
     cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
     sizes = np.diff(cut)
     root = np.arange(len(x))
@@ -186,7 +188,8 @@ def _forest_edges(shard: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.nda
         i = np.flatnonzero(small[:-k] & (shard[:-k] == shard[k:])) if k < len(x) else np.zeros(0, np.int64)
         if not len(i):
             break
-        pairs.append((i := i[np.bitwise_count(x[i] ^ x[i + k]) <= radius], i + k))
+        parts = [j[_distance(x[j], x[j + k]) <= radius] for j in np.array_split(i, 1 + len(i) // (1 << 18))]
+        pairs += [(j, j + k) for j in parts]
     if pairs:
         i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
         while True:
@@ -198,6 +201,17 @@ def _forest_edges(shard: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.nda
                 break
     for s in np.flatnonzero(sizes > _SMALL):
         root[cut[s] : cut[s + 1]] = cut[s] + link(x[cut[s] : cut[s + 1]], radius)
+    return root
+
+
+def _forest_edges(shard: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of the links within each shard."""
+    order = np.lexsort((x, shard))
+    shard, x = shard[order], x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (shard[1:] != shard[:-1]) | (x[1:] != x[:-1])
+    shard, x = shard[new], x[new]
+    root = shard_groups(shard, x, radius)
     own = root != np.arange(len(x))
     return x[own], x[root[own]]
 
