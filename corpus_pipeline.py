@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, mixing, quality_rules, simhash_dedup, token_files
+from quern.llm import decontaminate, mixing, near_copies, quality_rules, simhash_dedup, token_files
 from quern.llm._store import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,8 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
-    return simhash_dedup.one_of_each(docs.select(*COLUMNS))
+    """Keeps the document with the smallest id of each group; of those left, drops verified near copies of one that stays."""
+    firsts = written(simhash_dedup.one_of_each(docs.select(*COLUMNS)), "firsts")
+    return near_copies.without_near_copies(firsts)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
