@@ -42,3 +42,16 @@ def test_bit_layout(spark):
     packed = columns.pack_bits(flags, "i", "flag")
     assert [r.value for r in packed.orderBy("byte").collect()] == [0x09, 0x01, 0x02]
     assert sorted(tuple(r) for r in columns.unpack_bits(packed, 18).collect()) == sorted(tuple(r) for r in flags.collect())
+
+
+def test_staged_tables_can_be_discarded(spark):
+    import os
+
+    from quern.sources import staging
+
+    before = staging.staged(spark)
+    df = staging.written(spark.range(5), "some")
+    (path,) = [p for p in staging.staged(spark) if p not in before]
+    assert df.count() == 5 and staging.staged(spark) == [*before, path]
+    staging.discard(spark, [path])
+    assert staging.staged(spark) == before and not os.path.exists(path.removeprefix("file:").replace("///", "/"))
