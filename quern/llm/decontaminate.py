@@ -243,4 +243,20 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_items = F.size("found.items").cast("long")
-    return found.select("doc_id", "found.n_words", "found.n_hit", n_items.alias("n_items"), F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"), "found.hits")
+    return found.select("doc_id", "found.n_words", "found.n_hit", n_items.alias("n_items"), F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, least({WINDOW}, len(w)) AS n, array_to_string(w[i + 1:i + {WINDOW}], ' ') AS run FROM (SELECT *, unnest(range(greatest(1, len(w) - {WINDOW - 1}))) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + n], ' ') AS run FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM docs, sizes WHERE len(w) >= n)),
+met AS (SELECT doc_id, n, i, item_id FROM places JOIN windows USING (n, run)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM met) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM docs d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
+"""

@@ -166,24 +166,49 @@ def certified_cutoffs(holdout: DataFrame, max_rejection: float = 0.03, delta: fl
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", max_rejection: float = 0.03, delta: float = 0.05, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with structs: m (measures) and verdict (base_failed, rejected_by, kept)."""
-    held = [F.col(c) for c in docs.columns]
-    if {"m", "verdict"} & set(docs.columns):
-        raise ValueError("m and verdict are names of the result")
-    measured = docs.withColumn("m", _measures(F.col(text_col).cast("string")))
+    """`docs` with structs: m (measures) and verdict (base_failed, rejected_by, kept); columns of these names are replaced."""
+    held = [c for c in docs.columns if c not in ("m", "verdict")]
+    measured = docs.select(*held, F.col(id_col).alias("__id"), F.col(stratum_col).alias("__stratum"), _measures(F.col(text_col).cast("string")).alias("m"))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good")).withColumnRenamed("doc_id", "id")
-    sample = written(measured.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), "m"), "measures").where(~base_failed())
+    sample = written(measured.select(F.col("__id").alias("id"), F.col("__stratum").alias("stratum"), "m"), "measures").where(~base_failed())
     cutoffs = certified_cutoffs(sample.join(known, "id"), max_rejection, delta, rules)
-    used = written(cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "used"))).alias("used")), "cutoffs").withColumnRenamed("stratum", "__stratum")
-    rejects = [F.when(_strictness(r) < F.coalesce(F.element_at("used", F.lit(i)), F.lit(0)), F.lit(r.name)) for i, r in enumerate(rules)]
-    joined = measured.join(used, F.col(stratum_col).eqNullSafe(F.col("__stratum")), "left")
+    used = written(cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "used"))).alias("__used")), "cutoffs")
+    rejects = [F.when(_strictness(r) < F.coalesce(F.element_at("__used", F.lit(i)), F.lit(0)), F.lit(r.name)) for i, r in enumerate(rules)]
+    joined = measured.join(used, F.col("__stratum").eqNullSafe(used["stratum"]), "left")
     by = F.filter(F.array(*rejects), lambda x: x.isNotNull())
     failed = base_failed()
     verdict = F.struct(failed.alias("base_failed"), by.alias("rejected_by"), (~failed & (F.size(by) == 0)).alias("kept"))
-    return joined.select(*held, "m", verdict.alias("verdict"))
+    return joined.select(*[measured[c] for c in held], "m", verdict.alias("verdict"))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     judged = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.select("doc_id", *[f"m.{x}" for x in FIELDS[:5]], "verdict.base_failed", "verdict.kept", "verdict.rejected_by")
+    return judged.select("doc_id", *[f"m.{x}" for x in FIELDS[:5]], "verdict.base_failed", "verdict.kept")
+
+
+def _sql(max_rejection: float = 0.03, delta: float = 0.05) -> str:
+    word, risk = r"[^\x20\x09-\x0D]", max_rejection / len(RULES)
+    cases = [(i, k, f"m.{r.numerator} > {c!r}::DOUBLE * m.{r.denominator}") for i, r in enumerate(RULES) for k, c in enumerate(r.cutoffs)]
+    counted = " UNION ALL ".join(f"SELECT lang, {i} AS rule, {k} AS step, count_if(good)::BIGINT AS n, count_if(good AND {x})::BIGINT AS k, count_if(NOT good AND {x})::BIGINT AS caught FROM held m GROUP BY lang" for i, k, x in cases)
+    rejects = " OR ".join(f"(u.rule = {i} AND u.step = {k} AND {x})" for i, k, x in cases)
+    return f"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM documents),
+trios AS (SELECT doc_id, i, run, count(*) OVER (PARTITION BY doc_id, run) AS times FROM (SELECT doc_id, i, w[i + 1:i + 3] AS run FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS i FROM t WHERE len(w) >= 3))),
+again AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS pos FROM trios WHERE times > 1) GROUP BY doc_id),
+m AS (SELECT t.doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!]', '', 'g')) AS n_bangs FROM t LEFT JOIN again ON again.doc_id = t.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT j.*, good FROM judged j JOIN known USING (doc_id) WHERE NOT base_failed),
+counts AS ({counted}),
+tests AS (SELECT greatest(1, count(DISTINCT coalesce(lang, '(none)'))) * {len(RULES)} AS n_tests FROM held WHERE good),
+tails AS (SELECT lang, rule, step, any_value(k) AS k, any_value(caught) AS caught, CASE WHEN any_value(k) >= any_value(n) * {risk!r}::DOUBLE THEN 1.0::DOUBLE ELSE sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}::DOUBLE) + (n - i) * ln(1 - {risk!r}::DOUBLE))) END AS tail FROM (SELECT *, unnest(range(CASE WHEN k >= n * {risk!r}::DOUBLE THEN 1 ELSE k + 1 END)) AS i FROM counts) GROUP BY lang, rule, step),
+failing AS (SELECT lang, rule, min(step) FILTER (WHERE tail > {delta!r}::DOUBLE / n_tests) AS first FROM tails, tests GROUP BY lang, rule),
+used AS (SELECT lang, rule, step FROM (SELECT t.*, row_number() OVER (PARTITION BY t.lang, t.rule ORDER BY caught - k DESC, step) AS place FROM tails t JOIN failing f ON t.lang IS NOT DISTINCT FROM f.lang AND t.rule = f.rule WHERE first IS NULL OR step < first) WHERE place = 1 AND caught - k > 0),
+rejected AS (SELECT DISTINCT m.doc_id FROM judged m JOIN used u ON m.lang IS NOT DISTINCT FROM u.lang WHERE {rejects})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM judged
+"""
+
+
+SQL = _sql()

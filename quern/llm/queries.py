@@ -18,7 +18,10 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.SQL,
     "op3_chat_rotation": chat_format.SQL,
+    "op4_quality_rules": quality_rules.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op8_url_reputation": url_reputation.SQL,
 }

@@ -164,7 +164,21 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
     return out.withColumnRenamed("id", id_col)
 
 
+WINDOW = 35
+
+
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = remove_repeated_windows(docs, window=35)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "removed")
+    out = remove_repeated_windows(docs, WINDOW)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, i, array_to_string(w[i + 1:i + {WINDOW}], ' ') AS run FROM (SELECT doc_id, w, unnest(range(len(w) - {WINDOW - 1})) AS i FROM docs WHERE len(w) >= {WINDOW})),
+often AS (SELECT run FROM places GROUP BY run HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS i FROM places JOIN often USING (run)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM docs),
+kept AS (SELECT w.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY w.i) FILTER (WHERE g.i IS NULL) AS kept FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
