@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontaminate, mixing, near_copies, quality_rules, simhash_dedup, token_files
 from quern.llm._store import written
+from quern.sources import staging
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage has staged goes when its result is written; the token files stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = staging.staged(spark)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        *used, result = [p for p in staging.staged(spark) if p not in before]
+        staging.discard(spark, used)
+        before = [*before, result]
     return docs
