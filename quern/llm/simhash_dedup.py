@@ -52,6 +52,28 @@ SHARD_SIZE, SPLIT, VANTAGE_POINTS = 2048, 65_536, 10
 _SMALL = 64
 
 
+#: For each byte, eight lanes of a byte with one of its bits each.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def majority(values: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """For each group of values step[i]:step[i + 1], none empty: the bits that are set in over half of them.
+
+    Bits are added up as lanes of a byte, at most 255 at a time.
+    """
+    out = np.empty(len(step) - 1, np.uint64)
+    for a, b in slices(step, 1 << 17):
+        begin, n = step[a:b] - step[a], np.diff(step[a : b + 1])
+        blocks = -(-n // 255)
+        first = np.cumsum(blocks) - blocks
+        starts = np.repeat(begin, blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+        lanes = _LANES[values[step[a] : step[b]].astype("<u8").view(np.uint8).reshape(-1, 8)]
+        sums = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(len(starts), 64)
+        ones = np.add.reduceat(sums, first, axis=0, dtype=np.int64)
+        out[a:b] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def simhash(texts: pa.Array, width: int = 4, seed: int = 42) -> np.ndarray:
     """Fingerprints: a bit is set if it is in over half of the shingles' XXH64."""
     import xxhash
@@ -76,11 +98,7 @@ def simhash(texts: pa.Array, width: int = 4, seed: int = 42) -> np.ndarray:
         values = np.array([digest(raw[s:e], seed) for s, e in zip(begin[at].tolist(), (begin[last] + lengths[last]).tolist(), strict=True)], dtype="<u8")
         full = np.flatnonzero(shingles)
         step = np.concatenate([[0], np.cumsum(shingles[full])])
-        for a, b in slices(step, 1 << 18):
-            bits = np.unpackbits(values[step[a] : step[b]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, step[a:b] - step[a], axis=0, dtype=np.int64)
-            major = 2 * ones > shingles[full[a:b], None]
-            out[lo + full[a:b]] = np.packbits(major, axis=1, bitorder="little").view("<u8").ravel()
+        out[lo + full] = majority(values, step)
     return out
 
 
