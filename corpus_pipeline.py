@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; of those left, drops verified near copies of one that stays."""
+    """Keeps the document with the smallest id of each group; of those left, likewise one of each group of near copies."""
     firsts = written(simhash_dedup.one_of_each(docs.select(*COLUMNS)), "firsts")
     return near_copies.without_near_copies(firsts)
 
