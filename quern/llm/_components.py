@@ -1,9 +1,10 @@
 """Connected components of an edge table by contraction.
 
 Each round lets every node take the smallest of its neighbours and itself,
-maps both ends of all edges to what was taken, and drops loops and repeats.
-Every node that is not smaller than all its neighbours vanishes, so the nodes
-at least halve, and the rounds are bounded by the logarithm of their number.
+follows what was taken to its end by doubling, maps both ends of all edges there,
+and drops loops and repeats. Only nodes smaller than all their neighbours are
+left, at most half of them, so rounds are bounded by the logarithm of the number
+of nodes, and doublings within a round by that of the longest descent.
 Minima are pre-aggregated before the shuffle, so a hub costs no more than any
 node; tables are written between rounds, so a lost executor repeats one round.
 """
@@ -16,6 +17,16 @@ from pyspark.sql import functions as F
 from quern.llm._store import written
 
 
+def _ends(taken: DataFrame) -> DataFrame:
+    """(node, to) with `to` followed until it takes itself."""
+    while True:
+        on = taken.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        jumped = written(taken.join(on, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "taken")
+        if not jumped.where("moved").limit(1).count():
+            return taken
+        taken = jumped.select("node", "to")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of `edges` (a, b); root: the component's smallest node."""
     rest = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -23,6 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     while rest.limit(1).count():
         both = rest.select(F.col("b").alias("node"), F.col("a").alias("to")).unionAll(rest.select("a", "a"))
         taken = written(both.groupBy("node").agg(F.min("to").alias("to")), "taken")
+        taken = _ends(taken)
         maps.append(taken)
         left, right = (taken.select(F.col("node").alias(x), F.col("to").alias(f"{x}2")) for x in "ab")
         moved = rest.join(left, "a").join(right, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
