@@ -1,27 +1,37 @@
-"""Near copies by a similarity of word shingles: SimHash with a long fingerprint.
+"""Near copies by word-shingle similarity: SimHash candidates, exact verification.
 
 The contract's fingerprints link at 4 of 64 bits, which near copies of the usual
 similarity mostly exceed: at a Jaccard similarity of 0.8 on shingles an expected
 15 % of a fingerprint's bits differ. This form of the operator takes shingles of
-five words and a SimHash of `WORDS` times 64 bits, and links fingerprints within
-the bits that are expected at `similarity`; of 320 bits, 48 with a deviation of
-6, while unrelated texts differ in 160 with a deviation of 9.
+five words and a SimHash of `WORDS` times 64 bits, and takes fingerprints within
+the bits that are expected at `similarity` as candidates; of 320 bits, 48 with a
+deviation of 6, while unrelated texts differ in 160 with a deviation of 9.
 
 A tree for each 16 bits partitions the fingerprints by rings of distance 0 on
-those bits; in a shard, a vantage-point tree over all bits finds the links, and
-gives spanning edges. A pair of similarity 0.8, 0.85, 0.9, 0.95 shares a shard
-with probability 0.78, 0.9, 0.98 and more than 0.99; what links through others
-needs no shard of its own. Groups are connected components (see _components).
-Equal fingerprints are one from the start.
-
-Defined results: a text of fewer words than a shingle is one shingle; one
-without words has fingerprint zero, which links like any other; null texts are
-empty; of each group the row with the smallest id stays, null last; rows that
-are equal throughout count once; an empty table gives an empty result.
+those bits; in a shard, a vantage-point tree over all bits finds the candidates,
+and gives spanning edges. A pair of similarity 0.8, 0.85, 0.9, 0.95 shares a shard
+with probability 0.78, 0.9, 0.98 and more than 0.99. Groups are connected
+components (see _components); they are candidates only.
+
+In a group, rows in order of id, null last, are judged on whole texts: a row goes
+if its set of shingles has a Jaccard similarity of at least `similarity` with a
+row that stays, and stays otherwise. So what goes has a near copy that stays, and
+no two rows of a group that stay are near copies, whatever chains the candidates
+make. A group of over `PIECE` members, or `PIECE_SHINGLES` shingles, is dealt in
+pieces by hash: the first piece, which holds the group's first row, is judged;
+what it keeps judges all other pieces, in as many tasks; the rest goes on alike.
+A round settles a whole piece and all its near copies, not one cluster.
+
+Defined results: a text of fewer words than a shingle is one shingle, one
+without words has none; null texts are empty; two texts without words are alike;
+texts with the same shingles as often are one from the start, and of those the
+smallest id stays; rows that are equal throughout count once; an empty table
+gives an empty result. Shingles are told apart by 64 bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +46,8 @@ from quern.llm._text import ASCII_LOWER, NON_SPACE, as_text, byte_view, find_wor
 from quern.llm.simhash_dedup import majority, shard_groups
 
 SIMILARITY, WIDTH = 0.8, 5
-WORDS, TREE_BITS = 5, 16
+WORDS = 5
+PIECE, PIECE_SHINGLES = 1024, 1 << 20
 _BASE = 0x5851F42D4C957F2D
 
 
@@ -70,25 +81,57 @@ def long_simhash(texts: pa.Array, width: int = WIDTH, words: int = WORDS) -> np.
     return out
 
 
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted."""
+    return (np.unique(values[a:b]) for _, values, first in _shingle_hashes(texts, width) for a, b in zip(first[:-1], first[1:], strict=True))
+
+
+def _share(similarity: float) -> float:
+    """The share of bits in which texts of this similarity are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
 def reach(similarity: float, bits: int) -> int:
     """The bits in which texts of this similarity are expected to differ."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * _share(similarity))
+
+
+def tree_bits(n: int, similarity: float = SIMILARITY) -> np.ndarray:
+    """The bits of each tree, for n fingerprints."""
+    return np.arange(64 * WORDS).reshape(-1, 16)
 
 
 @F.arrow_udf(T.BinaryType())
 def _long_fingerprint(texts: pa.Array) -> pa.Array:
-    return pa.array([x.tobytes() for x in long_simhash(texts)], pa.binary())
+    """The fingerprint, and 64 bits of what shingles there are."""
+    own = np.zeros(len(texts), np.uint64)
+    for lo, values, first in _shingle_hashes(texts, WIDTH):
+        full = np.flatnonzero(np.diff(first))
+        if len(full):
+            own[lo + full] = np.add.reduceat(mix(values + np.uint64(_BASE)), first[full])
+    return pa.array([x.tobytes() for x in np.column_stack([long_simhash(texts), own])], pa.binary())
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, len(batch), 2048):
-            part = batch.slice(lo, 2048)
-            raw = part["print"].to_pylist()
-            if raw:
-                bands = np.frombuffer(b"".join(raw), "<u2").reshape(len(raw), -1)
-                shards = (np.arange(bands.shape[1]) << TREE_BITS) + bands
-                yield pa.RecordBatch.from_arrays([pa.array(shards.T.ravel(), pa.int64()), pa.concat_arrays([part["key"]] * bands.shape[1]), pa.array(raw * bands.shape[1], pa.binary())], ["shard", "key", "print"])
+@F.arrow_udf(T.BinaryType())
+def _shingles(texts: pa.Array) -> pa.Array:
+    return pa.array([x.tobytes() for x in shingle_sets(texts)], pa.binary())
+
+
+def _dealer(chosen: np.ndarray):
+    trees, bits = chosen.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                raw = part["print"].to_pylist()
+                ones = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
+                bands = np.zeros((len(raw), trees, 16), np.uint8)
+                bands[:, :, :bits] = ones[:, chosen.ravel()].reshape(len(raw), trees, bits)
+                shards = (np.arange(trees) << 16) + np.packbits(bands, axis=2, bitorder="little").view("<u2")[:, :, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(shards.T.ravel(), pa.int64()), pa.concat_arrays([part["key"]] * trees), pa.array(raw * trees, pa.binary())], ["shard", "key", "print"])
+
+    return run
 
 
 def _linker(radius: int):
@@ -105,23 +148,116 @@ def _linker(radius: int):
     return run
 
 
-def candidate_groups(prints: DataFrame, radius: int) -> DataFrame:
-    """(node, root) of the keys in `prints` (key, print) that have another within `radius` bits in some shard."""
+def candidate_groups(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the keys in `prints` (key, print) that have another within reach in some shard."""
     n = prints.count()
-    parts = max(shuffle_partitions(prints.sparkSession), -(-n * WORDS * 4 // 400_000))
-    return components(prints.mapInArrow(_deal, "shard long, key long, print binary").repartition(parts, "shard").mapInArrow(_linker(radius), "a long, b long"))
+    chosen = tree_bits(n, similarity)
+    parts = max(shuffle_partitions(prints.sparkSession), -(-n * len(chosen) // 300_000))
+    dealt = prints.mapInArrow(_dealer(chosen), "shard long, key long, print binary")
+    return components(dealt.repartition(parts, "shard").mapInArrow(_linker(reach(similarity, 64 * WORDS)), "a long, b long"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, leads, hashes, first) of the rows with equal values in `by`, which come together; hashes[first[i]:first[i + 1]] is a set."""
+
+    def whole(held):
+        sets = [np.frombuffer(x, np.uint64) for _, _, x in held]
+        return [k for k, _, _ in held], np.array([x for _, x, _ in held]), np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+
+    held, last = [], None
+    for batch in batches:
+        for *own, key, lead, shingles in zip(*(batch[c].to_pylist() for c in [*by, "key", "lead"]), batch["set"], strict=True):
+            if held and own != last:
+                yield whole(held)
+                held = []
+            held.append((key, lead, shingles.as_py()))
+            last = own
+    if held:
+        yield whole(held)
+
+
+def judge(hashes: np.ndarray, first: np.ndarray, similarity: float, leads: np.ndarray | None = None) -> np.ndarray:
+    """For sets in order: whether each goes, as one that stays is alike. Given `leads`, only those count as staying."""
+    n = len(first) - 1
+    sizes, gone = np.diff(first), np.zeros(n, bool)
+    known, ids = np.unique(hashes, return_inverse=True)
+    mark = np.zeros(len(known) + 1, bool)
+    totals = np.empty(len(ids) + 1, np.int64)
+    totals[0] = 0
+    for i in range(n):
+        if gone[i] or (leads is not None and not leads[i]):
+            continue
+        mark[ids[first[i] : first[i + 1]]] = True
+        start = first[i + 1]
+        np.cumsum(mark[ids[start:]], out=totals[1 : len(ids) - start + 1])
+        both = np.diff(totals[first[i + 1 :] - start])
+        mark[ids[first[i] : first[i + 1]]] = False
+        either = sizes[i] + sizes[i + 1 :] - both
+        alike = both >= similarity * either
+        gone[i + 1 :] |= alike if leads is None else alike & ~leads[i + 1 :]
+    return gone
+
+
+def _settle(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, _, hashes, first in _groups(batches, ["root"]):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(judge(hashes, first, similarity))], ["key", "gone"])
+
+    return run
+
+
+def _compare(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, leads, hashes, first in _groups(batches, ["root", "piece"]):
+            gone = judge(hashes, first, similarity, leads)[~leads]
+            own = [k for k, lead in zip(keys, leads, strict=True) if not lead]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(gone)], ["key", "gone"])
+
+    return run
+
+
+def near_copies(members: DataFrame, similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
+    """(key) of the rows of `members` (root, key, id, set) that go, for one that stays in their group."""
+    spark = members.sparkSession
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    found, turn = [], 0
+    while True:
+        shingles = F.length("set") / 8
+        sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / piece), F.ceil(F.sum(shingles) / PIECE_SHINGLES)).cast("long").alias("pieces"), F.min(order)["key"].alias("first"))
+        at = F.when((F.col("pieces") <= 1) | (F.col("key") == F.col("first")), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("key", F.lit(turn)), "pieces"))
+        dealt = written(members.join(sizes, "root").select("root", "key", "id", "set", "pieces", at.alias("piece"), F.lit(False).alias("lead")), "pieces")
+        heads = dealt.where("piece = 0").repartition(shuffle_partitions(spark), "root").sortWithinPartitions("root", F.col("id").isNull(), "id", "key")
+        settled = written(heads.select("root", "key", "lead", "set").mapInArrow(_settle(similarity), "key long, gone boolean"), "settled")
+        found.append(settled.where("gone").select("key"))
+        rest = dealt.where("piece > 0")
+        if not rest.limit(1).count():
+            break
+        stay = dealt.where("piece = 0 AND pieces > 1").join(settled.where("NOT gone").select("key"), "key")
+        stay = stay.select("root", "key", "set", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(True).alias("lead"))
+        both = rest.select("root", "key", "set", "piece", "lead").unionByName(stay)
+        both = both.repartition(shuffle_partitions(spark), "root", "piece").sortWithinPartitions("root", "piece", F.desc("lead"), "key")
+        judged = written(both.mapInArrow(_compare(similarity), "key long, gone boolean"), "compared")
+        found.append(judged.where("gone").select("key"))
+        members = written(rest.join(judged.where("NOT gone").select("key"), "key").select("root", "key", "id", "set"), "members")
+        turn += 1
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionAll(part)
+    return out
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` with one row of each group of near copies."""
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
+    """`docs` without rows that are as similar to a row of their group that stays."""
     text = F.col(text_col).cast("string")
     key = F.xxhash64(F.col(id_col), text).alias("__key")
     rows = written(docs.select(F.col(id_col).alias("id"), key, _long_fingerprint(text).alias("print")).withColumn("node", F.xxhash64("print")), "long-prints")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__key")).alias("row")
-    nodes = written(rows.groupBy("node").agg(F.first("print").alias("print"), first), "nodes")
-    groups = candidate_groups(nodes.select(F.col("node").alias("key"), "print"), reach(similarity, 64 * WORDS))
-    known = nodes.select("node", "row").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    chosen = known.groupBy("root").agg(F.min("row").alias("row")).select("row.__key")
+    nodes = written(rows.groupBy("node").agg(F.substring(F.first("print"), 1, 8 * WORDS).alias("print"), first), "nodes")
+    groups = candidate_groups(nodes.select(F.col("node").alias("key"), "print"), similarity)
+    linked = written(nodes.join(groups, "node").select(F.col("row.__key").alias("__key"), "row.id", "root"), "linked")
+    own = docs.select(key, text.alias("__text")).join(linked.hint("merge"), "__key").dropDuplicates(["__key"])
+    members = written(own.select("root", F.col("__key").alias("key"), "id", _shingles("__text").alias("set")), "members")
+    drop = near_copies(members, similarity, piece).select(F.col("key").alias("__key"))
     times = rows.groupBy("__key").agg((F.count(F.lit(1)) > 1).alias("repeated"))
-    keep = written(chosen.join(times, "__key"), "kept")
+    keep = written(nodes.select("row.__key").join(drop, "__key", "left_anti").join(times, "__key"), "kept")
     return exactly_once(docs.select("*", key), keep, ["__key"]).select(*docs.columns)

@@ -60,3 +60,36 @@ def test_one_of_each_group_stays(spark):
     assert len(dropped) > 150 and missed <= 0.05 * len(dropped)
     assert (0, rows[0][1]) in kept and len([k for k in kept if k == (4, rows[4][1])]) <= 1
     assert N.without_near_copies(df.limit(0)).collect() == []
+
+
+def test_shingles_are_those_of_the_definition():
+    texts = [t for _, t in corpus(random.Random(1))]
+    got = list(N.shingle_sets(pa.array(texts, pa.string())))
+    want = [sets(t) for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in want]
+    for i, j in [(random.randrange(len(texts)), random.randrange(len(texts))) for _ in range(300)]:
+        assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
+
+
+def chain(rng, n):
+    """Texts of which each is like the next, and like few others."""
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        rows.append(" ".join(words))
+        words = words[12:] + [f"y{rng.randrange(10**6)}" for _ in range(12)]
+    return rows
+
+
+def test_chains_keep_what_is_unlike_and_pieces_agree(spark):
+    rng = random.Random(5)
+    rows = chain(rng, 40)
+    base = rows[7].split()
+    rows += [" ".join(edited(rng, base, 2)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for piece in (N.PIECE, 8):
+        kept = {r.doc_id for r in N.without_near_copies(df, piece=piece).collect()}
+        left = [sets(rows[k]) for k in kept]
+        assert 0 in kept
+        assert all(max(similar(sets(rows[k]), x) for x in left) >= 0.8 for k in set(range(100)) - kept)
+        assert not sum(similar(a, b) >= 0.8 for i, a in enumerate(left) for b in left[:i])
