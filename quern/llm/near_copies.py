@@ -4,14 +4,14 @@ The contract's fingerprints link at 4 of 64 bits, which near copies of the usual
 similarity mostly exceed: at a Jaccard similarity of 0.8 on shingles an expected
 15 % of a fingerprint's bits differ. This form of the operator takes shingles of
 five words and a SimHash of `WORDS` times 64 bits, and takes fingerprints within
-the bits that are expected at `similarity` as candidates; of 320 bits, 48 with a
-deviation of 6, while unrelated texts differ in 160 with a deviation of 9.
+`reach` bits as candidates: the expectation at `similarity` and 3.5 deviations,
+72 of 320, while unrelated texts differ in 160 with a deviation of 9.
 
-A tree for each 16 bits partitions the fingerprints by rings of distance 0 on
-those bits; in a shard, a vantage-point tree over all bits finds the candidates,
-and gives spanning edges. A pair of similarity 0.8, 0.85, 0.9, 0.95 shares a shard
-with probability 0.78, 0.9, 0.98 and more than 0.99. Groups are connected
-components (see _components); they are candidates only.
+Each tree partitions the fingerprints by rings of distance 0 on some of the bits,
+10 to 16 as their number grows; there are as many trees as let a pair of exactly
+`similarity` share a shard with probability `RECALL`. In a shard, a vantage-point
+tree over all bits finds the candidates, and gives spanning edges. Groups are
+connected components (see _components); they are candidates only.
 
 In a group, rows in order of id, null last, are judged on whole texts: a row goes
 if its set of shingles has a Jaccard similarity of at least `similarity` with a
@@ -47,6 +47,7 @@ from quern.llm.simhash_dedup import majority, shard_groups
 
 SIMILARITY, WIDTH = 0.8, 5
 WORDS = 5
+RECALL = 0.99
 PIECE, PIECE_SHINGLES = 1024, 1 << 20
 _BASE = 0x5851F42D4C957F2D
 
@@ -92,13 +93,18 @@ def _share(similarity: float) -> float:
 
 
 def reach(similarity: float, bits: int) -> int:
-    """The bits in which texts of this similarity are expected to differ."""
-    return int(bits * _share(similarity))
+    """Bits within which texts of this similarity lie: the expectation and 3.5 deviations."""
+    share = _share(similarity)
+    return math.ceil(bits * share + 3.5 * math.sqrt(bits * share * (1 - share)))
 
 
 def tree_bits(n: int, similarity: float = SIMILARITY) -> np.ndarray:
     """The bits of each tree, for n fingerprints."""
-    return np.arange(64 * WORDS).reshape(-1, 16)
+    bits = min(max(n.bit_length() - 5, 10), 16)
+    trees = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - _share(similarity)) ** bits))
+    rng = np.random.default_rng(bits)
+    order = np.concatenate([rng.permutation(64 * WORDS) for _ in range(math.ceil(trees * bits / (64 * WORDS)))])
+    return order[: trees * bits].reshape(trees, bits)
 
 
 @F.arrow_udf(T.BinaryType())

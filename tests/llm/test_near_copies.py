@@ -71,6 +71,23 @@ def test_shingles_are_those_of_the_definition():
         assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
 
 
+def test_pairs_at_the_similarity_are_candidates():
+    rng = random.Random(4)
+    radius, chosen = N.reach(0.8, 320), N.tree_bits(100_000)
+    texts, found, pairs = [], 0, 0
+    for _ in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts += [" ".join(words), " ".join(edited(rng, words, 4))]
+    x = N.long_simhash(pa.array(texts, pa.string()))
+    bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
+    for i in range(0, len(texts), 2):
+        if 0.8 <= similar(sets(texts[i]), sets(texts[i + 1])) < 0.84:
+            differ = bits[i] != bits[i + 1]
+            pairs += 1
+            found += bool(differ.sum() <= radius and (~differ[chosen].any(axis=1)).any())
+    assert pairs > 200 and found >= 0.98 * pairs
+
+
 def chain(rng, n):
     """Texts of which each is like the next, and like few others."""
     words = [f"w{i}" for i in range(300)]
