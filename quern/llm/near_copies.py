@@ -10,8 +10,10 @@ five words and a SimHash of `WORDS` times 64 bits, and takes fingerprints within
 Each tree partitions the fingerprints by rings of distance 0 on some of the bits,
 10 to 16 as their number grows; there are as many trees as let a pair of exactly
 `similarity` share a shard with probability `RECALL`. In a shard, a vantage-point
-tree over all bits finds the candidates, and gives spanning edges. Groups are
-connected components (see _components); they are candidates only.
+tree over all bits finds the candidates, and gives spanning edges. A shard with
+over `split` members, as a sample by hash says that leaves about `SAMPLE` of
+them, is dealt in chunks to tasks for all pairs of chunks. Groups are connected
+components (see _components); they are candidates only.
 
 In a group, rows in order of id, null last, are judged on whole texts: a row goes
 if its set of shingles has a Jaccard similarity of at least `similarity` with a
@@ -47,7 +49,7 @@ from quern.llm.simhash_dedup import majority, shard_groups
 
 SIMILARITY, WIDTH = 0.8, 5
 WORDS = 5
-RECALL = 0.99
+RECALL, SPLIT, SAMPLE = 0.99, 65_536, 1024
 PIECE, PIECE_SHINGLES = 1024, 1 << 20
 _BASE = 0x5851F42D4C957F2D
 
@@ -154,13 +156,31 @@ def _linker(radius: int):
     return run
 
 
-def candidate_groups(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def deal(prints: DataFrame, n: int, chosen: np.ndarray, split: int = SPLIT) -> DataFrame:
+    """(shard, key, print) for each tree; shards of over `split` of the n members as pairs of chunks."""
+    every = "shard long, key long, print binary"
+    dealt = prints.mapInArrow(_dealer(chosen), every)
+    if n <= split:
+        return dealt
+    rate = max(split // SAMPLE, 1)
+    sample = prints.where(F.pmod(F.xxhash64("key"), F.lit(rate)) == 0).mapInArrow(_dealer(chosen), every)
+    hot = written(sample.groupBy("shard").agg((F.count(F.lit(1)) * rate).alias("count")).where(F.col("count") > split), "hot-shards")
+    if not hot.limit(1).count():
+        return dealt
+    chunks = F.ceil(F.col("count") * 2 / split)
+    own = F.pmod(F.xxhash64("key", F.lit(1)), chunks)
+    cool = F.col("count").isNull()
+    pair = F.explode(F.when(cool, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1))).alias("other")
+    joined = dealt.join(F.broadcast(hot), "shard", "left").select("shard", "key", "print", "count", own.alias("own"), pair)
+    return joined.select(F.when(cool, F.col("shard")).otherwise(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))).alias("shard"), "key", "print")
+
+
+def candidate_groups(prints: DataFrame, similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
     """(node, root) of the keys in `prints` (key, print) that have another within reach in some shard."""
     n = prints.count()
     chosen = tree_bits(n, similarity)
     parts = max(shuffle_partitions(prints.sparkSession), -(-n * len(chosen) // 300_000))
-    dealt = prints.mapInArrow(_dealer(chosen), "shard long, key long, print binary")
-    return components(dealt.repartition(parts, "shard").mapInArrow(_linker(reach(similarity, 64 * WORDS)), "a long, b long"))
+    return components(deal(prints, n, chosen, split).repartition(parts, "shard").mapInArrow(_linker(reach(similarity, 64 * WORDS)), "a long, b long"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:

@@ -110,3 +110,17 @@ def test_chains_keep_what_is_unlike_and_pieces_agree(spark):
         assert 0 in kept
         assert all(max(similar(sets(rows[k]), x) for x in left) >= 0.8 for k in set(range(100)) - kept)
         assert not sum(similar(a, b) >= 0.8 for i, a in enumerate(left) for b in left[:i])
+
+
+def test_hot_shards_are_split(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, 40, dtype=np.uint8)
+    family = np.repeat(base[None], 3000, axis=0)
+    family[np.arange(3000), rng.integers(0, 40, 3000)] ^= rng.integers(1, 256, 3000, dtype=np.uint8)
+    family = np.unique(family, axis=0)
+    prints = spark.createDataFrame([(i, bytes(x)) for i, x in enumerate(family)], "key long, print binary").cache()
+    n, chosen = len(family), N.tree_bits(len(family))
+    most = max(r["count"] for r in N.deal(prints, n, chosen, 500).groupBy("shard").count().collect())
+    assert most <= 700 < max(r["count"] for r in N.deal(prints, n, chosen).groupBy("shard").count().collect())
+    groups = N.candidate_groups(prints, split=500).collect()
+    assert len(groups) == n and {r.root for r in groups} == {0}
