@@ -5,7 +5,7 @@ similarity mostly exceed: at a Jaccard similarity of 0.8 on shingles an expected
 15 % of a fingerprint's bits differ. This form of the operator takes shingles of
 five words and a SimHash of `WORDS` times 64 bits, and takes fingerprints within
 `reach` bits as candidates: the expectation at `similarity` and 3.5 deviations,
-72 of 320, while unrelated texts differ in 160 with a deviation of 9.
+71 of 320, while unrelated texts differ in 160 with a deviation of 9.
 
 Each tree partitions the fingerprints by rings of distance 0 on some of the bits,
 10 to 16 as their number grows; there are as many trees as let a pair of exactly
