@@ -5,22 +5,32 @@ Fingerprints link at `radius` or fewer differing bits; linked ones form groups.
 Why a forest
 ------------
 Fingerprints of unrelated texts differ in 32 bits, give or take 4. One tree over
-all 64 bits with a search radius of 4 must then enter both sides of a median
-split for three in four queries: a level saves 13 % of the pairs and copies 74 %
-of the fingerprints. So each tree measures distance on some of the bits only.
-The 64 bits are cut into m bands. Two fingerprints within 4 bits agree entirely
-in at least m - 4 bands, so there is one tree for each choice of m - 4 bands and
-its share of the radius is 0. By the triangle bound such a pair has the same
-distance, in those bits, from every vantage point: a tree's rings around its
-vantage points partition the fingerprints into shards, and all other rings are
-pruned. m grows with the number of fingerprints, so that shards stay small.
-
-Within a shard a vantage-point tree over all 64 bits finds the exact links: the
-home side of a median split also gets, as queries, those members of the other
-side that the triangle bound lets within reach of the boundary. Subtrees whose
-members are already in one group are not searched. A shard gives back the edges
-of a spanning forest, so no group is written out as pairs. A shard with over
-`split` members is dealt in chunks to tasks for all pairs of chunks.
+all 64 bits with a search radius of 4 must enter both sides of a median split for
+three in four queries: a level saves 13 % of the pairs and copies 37 % of the
+fingerprints, so pairs grow almost with the square of the corpus. So each tree
+measures distance on some of the bits only. The bits are cut into m bands; of
+two fingerprints within 4 bits, some c bands together hold at most one of the
+differing bits, whatever bits these are (m = 3 and c = 1, or 5 and 2, 6 and 3, as
+the corpus grows). There is one tree for each choice of c bands, and its search
+radius is 1: a level saves 33 % of the pairs, and copies 17 % of the fingerprints.
+
+A tree
+------
+A node has a vantage point, one of `POINTS` fingerprints taken from the data by
+hash, and a distance near the median. What is within that distance of the point
+is near, the rest far. A far fingerprint whose distance is within the radius of
+the boundary visits the near side, too; on its way down a visitor goes to every
+side that the triangle bound cannot rule out. So each fingerprint is at home in
+one leaf, a shard, and visits those where something within its radius may be;
+all others are pruned. A node's point is chosen by a hash of the node's path, so
+that a tree of any depth needs no more than the points. Shards are dealt to tasks.
+
+Within a shard the same tree goes on, with points out of the shard and the same
+search radius, down to leaves where members at home meet each other and the
+visitors with their exact distance over all 64 bits. Subtrees whose members are
+already in one group are not searched. A shard gives back the edges of a spanning
+forest, so no group is written out as pairs. A shard with over `split` members, as
+a sample by hash says, is dealt in chunks to tasks for all pairs of chunks.
 
 Equal fingerprints are one from the start: a text that a third of all rows hold
 is one member. Groups are found in Spark (see _components); nothing is collected.
@@ -35,6 +45,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -48,7 +59,7 @@ from quern.llm._store import exactly_once, shuffle_partitions, written
 from quern.llm._text import ASCII_LOWER, NON_SPACE, as_text, byte_view, find_words, mix, slices
 
 RADIUS, BITS = 4, 64
-SHARD_SIZE, SPLIT, VANTAGE_POINTS = 2048, 65_536, 10
+SHARD_SIZE, SPLIT, SAMPLE, POINTS = 4096, 65_536, 1024, 4096
 _SMALL = 64
 
 
@@ -112,29 +123,65 @@ def fingerprint(text: str | Column) -> Column:
     return _fingerprint((F.col(text) if isinstance(text, str) else text).cast("string"))
 
 
-def band_masks(n: int, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> np.ndarray:
-    """The bits of each tree: of m bands, every choice of m - radius."""
-    m = radius + 1
-    while m < 2 * radius and n / 2 ** (BITS * (m - radius) / m) > shard_size:
-        m += 1
-    cuts = [round(i * BITS / m) for i in range(m + 1)]
-    bands = [sum(1 << j for j in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return np.array([sum(x) for x in combinations(bands, m - radius)], dtype=np.uint64)
-
-
-def ring_shards(x: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """For each tree and fingerprint a number for its rings around all vantage points."""
-    points = mix(np.arange(1, VANTAGE_POINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    out = np.empty((len(masks), len(x)), np.uint64)
-    for t, mask in enumerate(masks):
-        key = np.full(len(x), t, np.uint64)
-        for v in points:
-            key = key * np.uint64(BITS + 1) + np.bitwise_count((x ^ v) & mask)
-        out[t] = mix(key)
-    return out
-
+def band_masks(n: int, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> tuple[np.ndarray, int]:
+    """The bits of each tree for n fingerprints, and the trees' search radius.
 
-class _Forest:
+    If the differing bits are spread over m bands as evenly as can be, the c bands
+    with fewest hold c * (radius // m) of them and what remains beyond m - c bands;
+    no other spread leaves more. Trees take the first m at which this is 1 (or 0)
+    and a shard of all that differ in a bit at most has `shard_size` members.
+    """
+    for m in range(1, 2 * radius + 2):
+        held = {c: c * (radius // m) + max(0, radius % m - (m - c)) for c in range(1, m + 1)}
+        c = max((c for c, x in held.items() if x <= 1), default=0)
+        bits = BITS * c // m
+        if c and (n * (bits + 1) / 2**bits <= shard_size or m > 2 * radius):
+            break
+    cuts = [round(i * BITS / m) for i in range(m + 1)]
+    bands = [sum(1 << j for j in range(x, y)) for x, y in zip(cuts, cuts[1:], strict=False)]
+    return np.array([sum(x) for x in combinations(bands, c)], dtype=np.uint64), held[c]
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Trees over `masks`; a node's vantage point is one of `points`, its boundary the point's of `middles` in that tree."""
+
+    masks: np.ndarray
+    share: int
+    points: np.ndarray
+    middles: np.ndarray
+    depth: int
+
+    @classmethod
+    def of(cls, points: np.ndarray, n: int, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> Forest:
+        """For n fingerprints, of which `points` are some."""
+        masks, share = band_masks(n, radius, shard_size)
+        points = points if len(points) else np.zeros(1, np.uint64)
+        middles = np.zeros((len(masks), len(points)), np.int64)
+        seen = points[:256]
+        for t, mask in enumerate(masks):
+            d = np.sort(np.bitwise_count((points[:, None] ^ seen) & mask), axis=1)
+            half = d[:, len(seen) // 2].astype(np.int64)
+            within, below = ((d <= x[:, None]).mean(axis=1) for x in (half, half - 1))
+            middles[t] = np.where(within - 0.5 <= 0.5 - below, half, half - 1)
+        return cls(masks, share, points, middles, min(40, max(0, math.ceil(math.log2(max(n, 1) / shard_size)))))
+
+    def route(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, leaf, at home or visiting) of each fingerprint in all leaves that it enters."""
+        who, node, home = np.arange(len(x)), np.ones(len(x), np.int64), np.ones(len(x), bool)
+        for _ in range(self.depth):
+            at = (mix(node.astype(np.uint64) + np.uint64((tree + 1) << 48)) % np.uint64(len(self.points))).astype(np.int64)
+            d = np.bitwise_count((x[who] ^ self.points[at]) & self.masks[tree]).astype(np.int64) - self.middles[tree, at]
+            near = np.where(home, d <= 0, d <= self.share)
+            far = np.where(home, d > 0, d > -self.share)
+            over = home & (d > 0) & (d <= self.share)
+            who = np.concatenate([who[near], who[far], who[over]])
+            home = np.concatenate([home[near], home[far], np.zeros(over.sum(), bool)])
+            node = np.concatenate([2 * node[near], 2 * node[far] + 1, 2 * node[over]])
+        return who, node, home
+
+
+class _Union:
     """Union-find over positions, in numpy."""
 
     def __init__(self, n: int):
@@ -157,40 +204,47 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
-def link(x: np.ndarray, radius: int = RADIUS, leaf: int = 256) -> np.ndarray:
-    """For distinct fingerprints (n, words): the position of each one's group, by a vantage-point tree."""
+def link(x: np.ndarray, radius: int = RADIUS, leaf: int = 256, home: np.ndarray | None = None, mask: np.uint64 | None = None, share: int | None = None) -> np.ndarray:
+    """For distinct fingerprints (n, words): the position of each one's group, by a vantage-point tree.
+
+    Links are searched between those at `home` and all; distances to vantage points
+    count the bits in `mask` only, where linked fingerprints differ in `share` at most.
+    """
     x = x.reshape(len(x), -1)
-    forest = _Forest(len(x))
-    stack = [(np.arange(len(x)), np.zeros(0, np.int64), 0)]
+    share = radius if share is None else share
+    measured = x if mask is None else x & mask
+    forest = _Union(len(x))
+    stack = [(np.arange(len(x)), np.zeros(0, np.int64), 0)] if home is None else [(np.flatnonzero(home), np.flatnonzero(~home), 0)]
     while stack:
-        home, query, tries = stack.pop()
-        roots = forest.find(home)
+        own, query, tries = stack.pop()
+        if not len(own):
+            continue
+        roots = forest.find(own)
         if (roots == roots[0]).all():  # what is linked already needs no search
             query = query[forest.find(query) != roots[0]]
             if not len(query):
                 continue
-        if len(home) <= leaf or tries > 4:
-            others = np.concatenate([home, query])
+        if len(own) <= leaf or tries > 4:
+            others = np.concatenate([own, query])
             step = max(1, (1 << 19) // (len(others) * x.shape[1]))
-            for k in range(0, len(home), step):
-                rows = home[k : k + step]
+            for k in range(0, len(own), step):
+                rows = own[k : k + step]
                 near = _distance(x[rows][:, None], x[others]) <= radius
                 for i in np.flatnonzero(near.sum(axis=1) > 1):
                     forest.union(others[near[i]])
             continue
-        v = x[home[(len(home) * (tries + 1)) // 6]]
-        d, dq = _distance(x[home], v), _distance(x[query], v)
-        forest.union(np.concatenate([home[d <= radius], query[dq <= radius]]))
+        v = measured[own[(len(own) * (tries + 1)) // 6]]
+        d, dq = _distance(measured[own], v), _distance(measured[query], v)
         mid = int(np.partition(d, len(d) // 2)[len(d) // 2])
-        if (d <= mid).all():
+        if np.count_nonzero(d < mid) > np.count_nonzero(d > mid) or (d <= mid).all():
             mid -= 1
         near = d <= mid
         if not near.any() or near.all():
-            stack.append((home, query, tries + 1))
+            stack.append((own, query, tries + 1))
             continue
-        far = home[~near]
-        stack.append((far, query[dq > mid - radius], 0))
-        stack.append((home[near], np.concatenate([query[dq <= mid + radius], far[d[~near] <= mid + radius]]), 0))
+        far = own[~near]
+        stack.append((far, query[dq > mid - share], 0))
+        stack.append((own[near], np.concatenate([query[dq <= mid + share], far[d[~near] <= mid + share]]), 0))
     return forest.find(np.arange(len(x)))
 
 
@@ -222,59 +276,79 @@ def shard_groups(shard: np.ndarray, x: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def _forest_edges(shard: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of the links within each shard."""
-    order = np.lexsort((x, shard))
-    shard, x = shard[order], x[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (shard[1:] != shard[:-1]) | (x[1:] != x[:-1])
-    shard, x = shard[new], x[new]
-    root = shard_groups(shard, x, radius)
-    own = root != np.arange(len(x))
-    return x[own], x[root[own]]
-
-
-def _linker(radius: int):
+def _linker(forest: Forest, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b["shard"].to_numpy(), b["fp"].to_numpy()) for b in batches]
-        if got:
-            shard, x = (np.concatenate(p) for p in zip(*got, strict=True))
-            if len(x):
-                a, b = _forest_edges(shard, x.view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        got = [(b["tree"].to_numpy(), b["shard"].to_numpy(), b["fp"].to_numpy(), b["home"].to_numpy(zero_copy_only=False)) for b in batches if len(b)]
+        if not got:
+            return
+        tree, shard, x, home = (np.concatenate(p) for p in zip(*got, strict=True))
+        del got
+        x, order = x.view(np.uint64), np.lexsort((shard, tree))
+        tree, shard, x, home = tree[order], shard[order], x[order], home[order]
+        cut = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (shard[1:] != shard[:-1]), [True]]))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            own = x[lo:hi]
+            root = link(own, radius, home=home[lo:hi], mask=forest.masks[tree[lo]], share=forest.share)
+            edge = root != np.arange(hi - lo)
+            if edge.any():
+                yield pa.RecordBatch.from_arrays([pa.array(own[edge].view(np.int64)), pa.array(own[root[edge]].view(np.int64))], ["a", "b"])
 
     return run
 
 
-def _dealer(masks: np.ndarray):
+def _dealer(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch["fp"].to_numpy()
-            if len(x):
-                keys = ring_shards(x.view(np.uint64), masks)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(x, len(masks)))], ["shard", "fp"])
+            for lo in range(0, len(batch), 1 << 14):
+                x = batch["fp"].to_numpy()[lo : lo + (1 << 14)]
+                for t in range(len(forest.masks)):
+                    who, leaf, home = forest.route(x.view(np.uint64), t)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), t, np.int32)), pa.array(leaf), pa.array(x[who]), pa.array(home)], ["tree", "shard", "fp", "home"])
 
     return run
 
 
+_DEALT = "tree int, shard long, fp long, home boolean"
+
+
+def deal(distinct: DataFrame, forest: Forest, n: int, split: int = SPLIT) -> DataFrame:
+    """(tree, shard, fp, home) of the n fingerprints in each shard that they enter; shards of over `split` as pairs of chunks.
+
+    Pair (i, j) has the members at home of chunk i, and as visitors all other
+    members of chunk j; of those at home, j > i alone.
+    """
+    dealt = distinct.mapInArrow(_dealer(forest), _DEALT)
+    if n <= split:
+        return dealt
+    rate = max(split // SAMPLE, 1)
+    sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(rate)) == 0).mapInArrow(_dealer(forest), _DEALT)
+    hot = written(sample.groupBy("tree", "shard").agg((F.count(F.lit(1)) * rate).alias("members")).where(F.col("members") > split), "hot-shards")
+    if not hot.limit(1).count():
+        return dealt
+    chunks, zero = F.ceil(F.col("members") * 2 / split), F.lit(0).cast("long")
+    own, every = F.pmod(F.xxhash64("fp", F.lit(1)), chunks), F.sequence(zero, chunks - 1)
+
+    def pair(i, j, home):
+        return F.struct(i.alias("i"), j.alias("j"), home.alias("home"))
+
+    visits = F.transform(F.filter(every, lambda i: ~F.col("home") | (i < own)), lambda i: pair(i, own, F.lit(False)))
+    homes = F.when(F.col("home"), F.transform(every, lambda j: pair(own, j, F.lit(True)))).otherwise(F.array().cast("array<struct<i: bigint, j: bigint, home: boolean>>"))
+    cool = F.array(pair(zero - 1, zero, F.col("home")))
+    joined = dealt.join(F.broadcast(hot), ["tree", "shard"], "left")
+    at = joined.select("tree", "shard", "fp", F.explode(F.when(F.col("members").isNull(), cool).otherwise(F.concat(homes, visits))).alias("at"))
+    shard = F.when(F.col("at.i") < 0, F.col("shard")).otherwise(F.xxhash64("shard", "at.i", "at.j"))
+    return at.select("tree", shard.alias("shard"), "fp", "at.home")
+
+
 def link_groups(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE, split: int = SPLIT) -> DataFrame:
     """(node, root) of all fingerprints in `prints` (fp) that have a link to another."""
-    spark = prints.sparkSession
     distinct = written(prints.select("fp").where("fp IS NOT NULL").distinct(), "prints")
     n = distinct.count()
-    masks = band_masks(n, radius, shard_size)
-    dealt = distinct.mapInArrow(_dealer(masks), "shard long, fp long")
-    hot = written(dealt.groupBy("shard").count().where(F.col("count") > split), "hot-shards")
-    if hot.limit(1).count():
-        joined = dealt.join(hot, "shard", "left")
-        chunks = F.ceil(F.col("count") * 2 / split)
-        own = F.pmod(F.xxhash64("fp"), chunks)
-        pair = F.explode(F.when(F.col("count").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1))).alias("other")
-        dealt = joined.select("shard", "fp", "count", own.alias("own"), pair).select(
-            F.when(F.col("count").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))).alias("shard"), "fp"
-        )
-    parts = max(shuffle_partitions(spark), math.ceil(n * len(masks) / 1_000_000))
-    return components(dealt.repartition(parts, "shard").mapInArrow(_linker(radius), "a long, b long"))
+    points = np.array([r["fp"] for r in distinct.orderBy(F.xxhash64("fp", F.lit(2)), "fp").limit(POINTS).collect()], np.int64).view(np.uint64)
+    forest = Forest.of(points, n, radius, shard_size)
+    entered = sum(len(forest.route(points, t)[0]) for t in range(len(forest.masks))) / max(len(points), 1)
+    parts = max(shuffle_partitions(prints.sparkSession), math.ceil(n * entered / 1_000_000))
+    return components(deal(distinct, forest, n, split).repartition(parts, "tree", "shard").mapInArrow(_linker(forest, radius), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard_size: int = SHARD_SIZE, split: int = SPLIT) -> DataFrame:

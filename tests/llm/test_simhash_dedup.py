@@ -70,25 +70,68 @@ def test_tree_finds_all_links(leaf):
         assert len(set(zip(got.tolist(), (want[v] for v in x.tolist())))) == len(set(got.tolist())) == len(set(want.values()))
 
 
-@pytest.mark.parametrize("size", [10, 10**7, 10**10, 10**13])
-def test_every_close_pair_shares_a_shard(size):
+@pytest.mark.parametrize("size", [10, 10**7, 10**9, 10**11, 10**14])
+def test_every_close_pair_differs_in_a_bit_at_most_in_some_tree(size):
     rng = random.Random(size)
-    masks = S.band_masks(size)
-    for _ in range(100):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), 4):
-            b ^= 1 << bit
-        keys = S.ring_shards(np.array([a, b], dtype=np.uint64), masks)
-        assert (keys[:, 0] == keys[:, 1]).any()
-
-
-@pytest.mark.parametrize("split", [8, 10**6])
-def test_groups_equal_brute_force(spark, split):
+    masks, share = S.band_masks(size)
+    assert share == 1
+    for _ in range(300):
+        bits = sum(1 << b for b in rng.sample(range(64), 4))
+        assert any((bits & int(m)).bit_count() <= share for m in masks)
+
+
+@pytest.mark.parametrize("size", [300, 10**5, 10**9])
+def test_a_visitor_meets_every_close_one_at_home(size):
+    rng = random.Random(size)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    x = np.array(base + [b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(1, 5))) for b in base], dtype=np.uint64)
+    forest = S.Forest.of(x[:200], size, shard_size=64)
+    met = set()
+    for t in range(len(forest.masks)):
+        who, leaf, home = forest.route(x, t)
+        assert sorted(who[home]) == list(range(len(x)))
+        at = {}
+        for w, n, h in zip(who.tolist(), leaf.tolist(), home.tolist()):
+            at.setdefault(n, ([], []))[0 if h else 1].append(w)
+        met |= {(min(a, b), max(a, b)) for own, more in at.values() for a in own for b in own + more}
+    assert all((i, i + 300) in met for i in range(300))
+
+
+def test_the_tree_prunes_and_finds_all_links(spark):
+    """On the 9,000 fingerprints of a larger table: branches are pruned, visits across boundaries happen, links are those of all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    table = docs.select(S.fingerprint("text").alias("fp")).distinct()
+    x = np.array(sorted(r.fp for r in table.collect()), np.int64).view(np.uint64)
+    forest = S.Forest.of(x[:: len(x) // 500], len(x), shard_size=128)
+    leaves, entered, visits = 2**forest.depth, 0, 0
+    for t in range(len(forest.masks)):
+        who, _, home = forest.route(x, t)
+        entered, visits = entered + len(who), visits + int((~home).sum())
+    assert visits > len(x)  # across boundaries
+    assert entered < 0.2 * leaves * len(forest.masks) * len(x)  # all other branches are pruned
+    root = np.arange(len(x))
+    pairs = [(i, j) for i in range(len(x) - 1) for j in (i + 1 + np.flatnonzero(np.bitwise_count(x[i] ^ x[i + 1 :]) <= 4)).tolist()]
+    while True:
+        before = root.copy()
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+        if (before == root).all():
+            break
+    want = {}
+    for i, r in enumerate(root.tolist()):
+        want.setdefault(r, set()).add(int(x[i]))
+    got = {}
+    for r in S.link_groups(table, shard_size=128).collect():
+        got.setdefault(r.root, set()).add(r.node % 2**64)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
+
+
+@pytest.mark.parametrize("split,shard_size", [(64, 32), (10**6, 4096)])
+def test_groups_equal_brute_force(spark, split, shard_size):
     rng = random.Random(3)
     x = np.concatenate([clusters(rng, 400, 40), clusters(rng, 300, 300)])
     df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)] * 2, "fp long")
-    got = {r.node % 2**64: r.root % 2**64 for r in S.link_groups(df, split=split).collect()}
+    got = {r.node % 2**64: r.root % 2**64 for r in S.link_groups(df, shard_size=shard_size, split=split).collect()}
     want = brute_groups(x.tolist())
     sizes = {}
     for p, r in want.items():
