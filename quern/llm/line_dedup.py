@@ -80,26 +80,26 @@ def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(placed.select("place", "row", (F.col("row") + F.col("n")).alias("stop"), "line.a", "line.b", "line.w", "key", "key2"), "lines")
 
 
-def ranked(places: DataFrame, keys: list[str]) -> DataFrame:
+def ranked(places: DataFrame, keys: list[str], size: int) -> DataFrame:
     """The places whose key others share, with the key's rank instead, and the first of those places.
 
     Ranks follow the order of the keys: range partitions and the order within them
-    make the increasing ids follow it.
+    make the increasing ids follow it. `size` is about how many places there are.
     """
     shared = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("places"), F.min("place").alias("first")).where("places > 1")
-    ordered = shared.repartitionByRange(shuffle_partitions(places.sparkSession), *keys).sortWithinPartitions(*keys)
-    ranks = written(ordered.select(*keys, "first", F.monotonically_increasing_id().alias("rank")), "ranks")
+    parts = min(shuffle_partitions(places.sparkSession), 1 + size // 500_000)
+    ranks = shared.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(*keys, "first", F.monotonically_increasing_id().alias("rank"))
     return written(places.join(ranks, keys).drop(*keys), "places")
 
 
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
     """(place, rank, first) for prefixes of 1, 2, 4, ... lines, as long as any is shared; of one line with row, stop and w, too."""
-    levels = [ranked(lines.select("place", "row", "stop", "w", "a", "b"), ["a", "b"])]
-    while levels[-1].limit(1).count():
+    levels = [ranked(lines.select("place", "row", "stop", "w", "a", "b"), ["a", "b"], lines.count())]
+    while size := levels[-1].count():
         step = 1 << (len(levels) - 1)
         ahead = levels[-1].select((F.col("place") - step).alias("place"), F.col("rank").alias("next"))
         own = levels[-1].where(F.col("place") + step < F.col("stop")).select("place", "stop", F.col("rank").alias("head"))
-        levels.append(ranked(written(own.join(ahead, "place"), "pairs"), ["head", "next"]))
+        levels.append(ranked(own.join(ahead, "place"), ["head", "next"], size))
     return levels[:-1]
 
 
@@ -115,31 +115,31 @@ def copied_runs(levels: list[DataFrame]) -> DataFrame:
     later = F.col("place") > F.col("first")
     # at level j are the places for which no run of 2**(j + 1) is known, and the firsts that stand for those
     opened = [x.join(up.where(later).select("place"), "place", "left_anti") for x, up in zip(levels, levels[1:], strict=False)] + levels[-1:]
-    done = [opened[0].where(later).select("place", F.lit(1).cast("long").alias("copied"))]
-    if len(levels) > 1:
-        at = written(_united([x.select(F.lit(j).alias("level"), F.lit(1 << j).cast("long").alias("low"), "first", "place") for j, x in enumerate(opened) if j]), "intervals")
-        ranks = _united([x.select(F.lit(j).alias("level"), F.col("place").alias("at"), F.col("rank").alias("next")) for j, x in enumerate(levels) if j])
-        for i in range(len(levels) - 2, -1, -1):
-            at = _halved(at, ranks, i)
-        done.append(at.where(later).select("place", F.col("low").alias("copied")))
-    return _united(done)
+    at = None
+    for j in range(len(levels) - 1, 0, -1):
+        own = opened[j].select(F.lit(j).alias("level"), F.lit(1 << j).cast("long").alias("low"), "first", "place")
+        ranks = _united([x.select(F.lit(k).alias("level"), F.col("place").alias("at"), F.col("rank").alias("next")) for k, x in enumerate(levels) if k >= j])
+        at = _halved(own if at is None else at.unionAll(own), ranks, j - 1)
+    done = opened[0].where(later).select("place", F.lit(1).cast("long").alias("copied"))
+    return done if at is None else done.unionAll(at.where(later).select("place", F.col("low").alias("copied")))
 
 
 def _halved(at: DataFrame, ranks: DataFrame, i: int) -> DataFrame:
-    """Splits the intervals of depth `low`, on levels over i, at depth low + 2**i.
+    """Splits the intervals of depth `low`, all on levels over i, at depth low + 2**i.
 
     A prefix of that depth is the interval and the rank, on its level, of the
     window that ends there. Places that share it go on at the new depth; the first
     of them, and what shares it with none, also at the old one.
     """
     step, columns = 1 << i, ["level", "low", "first", "place"]
-    split = at.where(F.col("level") > i).withColumn("at", F.expr("place + low - shiftleft(1L, level)") + step)
-    seen = written(split.join(ranks, ["level", "at"], "left").select(*columns, "next"), "seen")
+    ends = at.withColumn("at", F.expr("place + low - shiftleft(1L, level)") + step)
+    seen = written(ends.join(ranks, ["level", "at"], "left").select(*columns, "next"), "seen")
     known, keys = seen.where("next IS NOT NULL"), ["level", "low", "first", "next"]
     both = known.join(known.groupBy(*keys).agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("places")), keys)
-    deeper = both.where("places > 1").select("level", (F.col("low") + step).alias("low"), F.col("least").alias("first"), "place")
-    stay = both.where("place = least").select(*columns)
-    return written(_united([deeper, stay, seen.where("next IS NULL").select(*columns), at.where(F.col("level") <= i).select(*columns)]), "intervals")
+    kept = F.when(F.col("places") > 1, F.struct((F.col("low") + step).alias("low"), F.col("least").alias("first")))
+    stay = F.when(F.col("place") == F.col("least"), F.struct("low", "first"))
+    going = both.select("level", "place", F.explode(F.array_compact(F.array(kept, stay))).alias("to"))
+    return going.select("level", "to.low", "to.first", "place").unionAll(seen.where("next IS NULL").select(*columns))
 
 
 def removals(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
