@@ -5,9 +5,22 @@ host's bad outcomes are beta-binomial. Its prior is centred on its registered
 domain's shrunk rate, which is shrunk towards its suffix's, and that towards the
 rate of all. How strongly each level shrinks is estimated from the data: the
 variance between a level's groups, beyond what binomial chance explains, gives
-the correlation within groups, 1 / (strength + 1). A host is blocked if the
-lower posterior bound of its rate (mean less `z` deviations) is above `limit`;
-hosts with few labels stay near their prior, and are not.
+the correlation within groups, 1 / (strength + 1). A host's rate then has a beta
+posterior, and the bound is its quantile at 1 - `confidence`: with that probability
+the host is worse. A host is blocked if the bound is above `tolerance` times the
+rate of all, that is, if it is worse than the corpus with that confidence; hosts
+with few labels stay near their prior, and are not. Without differences between
+hosts beyond chance the posteriors stay close to the rate of all, and few hosts or
+none are blocked.
+
+The quantile is found on a grid: log(rate / (1 - rate)) has a smooth density with
+one peak, and a deviation of at most sqrt(1/a + 1/a^2 + 1/b + 1/b^2), so 257 points
+over 8 deviations on both sides hold the posterior, and its mass is summed up to
+the quantile.
+
+Registered domains are told by a rule: a country's second-level label of general
+use (co, com, net, ...) belongs to the suffix, as do the `private` suffixes under
+which hosts belong to different people; an address is a domain of its own.
 
 A rule fits its host and all subdomains if the url's path begins with the rule's
 path; the longest that fits decides before the reputation does.
@@ -26,16 +39,22 @@ columns are not used.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._store import written
 
+CONFIDENCE = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels under which names are registered.
-DOUBLE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "co.in", "co.nz", "co.za", "com.mx", "com.tr")
+#: Labels under which countries register names.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "id", "info", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch", "web")
+#: Suffixes of two labels under which hosts belong to different people.
+PRIVATE_SUFFIXES = ("blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app", "wordpress.com", "workers.dev")
+_DOUBLE = rf"^({'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$"
+_ADDRESS = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$"
+#: Grid points on each side of the posterior's middle, and how many of them are a deviation.
+GRID, PER_DEVIATION = 128, 16
 
 
 @dataclass(frozen=True)
@@ -74,12 +93,39 @@ def matching_rule(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule: string, verdict: string>")
 
 
-def domain_and_suffix(host: Column) -> tuple[Column, Column]:
+def domain_and_suffix(host: Column, private: tuple[str, ...] = PRIVATE_SUFFIXES) -> tuple[Column, Column]:
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
-    last_two = F.substring_index(bare, ".", -2)
-    double = last_two.isin(*DOUBLE_SUFFIXES)
-    suffix = F.when(double, last_two).otherwise(F.substring_index(bare, ".", -1))
-    return F.when(double, F.substring_index(bare, ".", -3)).otherwise(last_two), suffix
+    last_two, address = F.substring_index(bare, ".", -2), bare.rlike(_ADDRESS)
+    double = last_two.rlike(_DOUBLE) | last_two.isin(*private)
+    suffix = F.when(address, F.lit("address")).when(double, last_two).otherwise(F.substring_index(bare, ".", -1))
+    return F.when(address, bare).when(double, F.substring_index(bare, ".", -3)).otherwise(last_two), suffix
+
+
+def beta_quantile(posterior: DataFrame, q: float) -> DataFrame:
+    """`posterior` (a, b and other columns) with `bound`, the quantile of Beta(a, b) at q."""
+    a, b, zero = F.col("a"), F.col("b"), F.lit(0.0)
+    step = F.sqrt(1 / a + 1 / (a * a) + 1 / b + 1 / (b * b)) / PER_DEVIATION
+    placed = posterior.withColumns({"__step": step, "__middle": F.log(a / b)})
+
+    def log(t: Column) -> Column:
+        """a * log(rate) + b * log(1 - rate)"""
+        rest = F.log(1 + F.exp(-F.abs(t)))
+        return -a * (rest + F.greatest(-t, zero)) - b * (rest + F.greatest(t, zero))
+
+    def mass(i: Column) -> Column:
+        return F.exp(log(F.col("__middle") + i * F.col("__step")) - log(F.col("__middle")))
+
+    weighed = placed.withColumn("__mass", F.transform(F.sequence(F.lit(-GRID), F.lit(GRID)), mass))
+    summed = weighed.withColumn("__goal", q * F.aggregate("__mass", zero, lambda acc, x: acc + x))
+
+    def walk(acc: Column, i: Column) -> Column:
+        own = F.get("__mass", i)
+        after = acc["sum"] + own
+        edge = F.col("__middle") + (i - GRID + 0.5) * F.col("__step") - F.col("__step") * (after - F.col("__goal")) / own
+        return F.struct(after.alias("sum"), F.when((acc["sum"] < F.col("__goal")) & (after >= F.col("__goal")), edge).otherwise(acc["at"]).alias("at"))
+
+    at = F.aggregate(F.sequence(F.lit(0), F.lit(2 * GRID)), F.struct(zero.alias("sum"), zero.alias("at")), walk, lambda acc: acc["at"])
+    return summed.withColumn("bound", 1 / (1 + F.exp(-at))).drop("__step", "__middle", "__mass", "__goal")
 
 
 def _strength(groups: DataFrame, rate: float) -> float:
@@ -93,9 +139,9 @@ def _strength(groups: DataFrame, rate: float) -> float:
     return 1 / max(1 / 1001, min(0.5, rho)) - 1
 
 
-def reputations(outcomes: DataFrame, z: float = 1.645, limit: float = 0.5) -> DataFrame:
+def reputations(outcomes: DataFrame, confidence: float = CONFIDENCE, tolerance: float = 1.0, private: tuple[str, ...] = PRIVATE_SUFFIXES) -> DataFrame:
     """(host, n, bad, mean, bound, blocked) for `outcomes` (host, n, bad); n may be 0."""
-    domain, suffix = domain_and_suffix(F.col("host"))
+    domain, suffix = domain_and_suffix(F.col("host"), private)
     hosts = written(outcomes.select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix")), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = written(hosts.groupBy("domain", "suffix").agg(*sums), "domains")
@@ -109,20 +155,21 @@ def reputations(outcomes: DataFrame, z: float = 1.645, limit: float = 0.5) -> Da
 
     by_suffix = suffixes.select("suffix", shrunk(suffixes, F.lit(rate)).alias("suffix_mean"))
     by_domain = domains.join(by_suffix, "suffix").select("domain", "suffix", shrunk(domains, F.col("suffix_mean")).alias("domain_mean"))
-    mean = shrunk(hosts, F.col("domain_mean"))
-    weight = F.col("n") + F.lit(_strength(hosts, rate))
-    bound = mean - z * F.sqrt(mean * (1 - mean) / (weight + 1))
-    return hosts.join(by_domain, ["domain", "suffix"]).select("host", "n", "bad", mean.alias("mean"), bound.alias("bound"), (bound > limit).alias("blocked"))
+    k = F.lit(_strength(hosts, rate))
+    known = hosts.join(by_domain, ["domain", "suffix"])
+    posterior = known.select("host", "n", "bad", (F.col("bad") + k * F.col("domain_mean")).alias("a"), (F.col("n") - F.col("bad") + k * (1 - F.col("domain_mean"))).alias("b"))
+    bounded = beta_quantile(posterior, 1 - confidence)
+    return bounded.select("host", "n", "bad", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"), "bound", (F.col("bound") > tolerance * rate).alias("blocked"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[UrlRule, ...] = RULES, z: float = 1.645, limit: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[UrlRule, ...] = RULES, confidence: float = CONFIDENCE, tolerance: float = 1.0, private: tuple[str, ...] = PRIVATE_SUFFIXES) -> DataFrame:
     """One row per page: id, host, path, rule, verdict and the reputation's bound."""
     host, path = split_url(F.coalesce(F.col(url_col).cast("string"), F.lit("")))
     rows = written(pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")), "urls")
     bad = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     labelled = rows.join(bad.withColumnRenamed("doc_id", "id"), "id").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     outcomes = rows.select("host").distinct().join(labelled, "host", "left").select("host", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad"))
-    known = written(reputations(outcomes, z, limit), "reputations").select("host", "bound", "blocked")
+    known = written(reputations(outcomes, confidence, tolerance, private), "reputations").select("host", "bound", "blocked")
     found = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
     joined = rows.join(known, "host").withColumn("found", found)
@@ -146,7 +193,8 @@ def _sql_strength(name: str, source: str) -> str:
     )
 
 
-_DOUBLE = ", ".join(f"'{x}'" for x in DOUBLE_SUFFIXES)
+_SQL_LOG = "-a * (ln(1 + exp(-abs({0}))) + greatest(-{0}, 0)) - b * (ln(1 + exp(-abs({0}))) + greatest({0}, 0))"
+_PRIVATE = ", ".join(f"'{x}'" for x in PRIVATE_SUFFIXES)
 _CASES = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{{}}'" for r in sorted(RULES, key=lambda r: (-len(r.name), r.name)))
 _ORDERED = sorted(RULES, key=lambda r: (-len(r.name), r.name))
 
@@ -157,16 +205,21 @@ outcome AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0
 counts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM urls LEFT JOIN outcome ON page_id = doc_id GROUP BY host),
 bare AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts FROM counts),
 two AS (SELECT *, array_to_string(parts[-2:], '.') AS last_two FROM bare),
-hosts AS (SELECT host, n, bad, CASE WHEN last_two IN ({_DOUBLE}) THEN array_to_string(parts[-3:], '.') ELSE last_two END AS domain, CASE WHEN last_two IN ({_DOUBLE}) THEN last_two ELSE parts[-1] END AS suffix FROM two),
+kinds AS (SELECT *, regexp_matches(array_to_string(parts, '.'), '{_ADDRESS}') AS address, regexp_matches(last_two, '{_DOUBLE}') OR last_two IN ({_PRIVATE}) AS double FROM two),
+hosts AS (SELECT host, n, bad, CASE WHEN address THEN array_to_string(parts, '.') WHEN double THEN array_to_string(parts[-3:], '.') ELSE last_two END AS domain, CASE WHEN address THEN 'address' WHEN double THEN last_two ELSE parts[-1] END AS suffix FROM kinds),
 {_sql_groups("domains", "domain, suffix")},
 {_sql_groups("suffixes", "suffix")},
 overall AS (SELECT (coalesce(sum(bad), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) AS rate FROM hosts),
 {_sql_strength("ks", "suffixes")}, {_sql_strength("kd", "domains")}, {_sql_strength("kh", "hosts")},
 sm AS (SELECT suffix, (bad + ks.k * rate) / (n + ks.k) AS suffix_mean FROM suffixes, overall, ks),
 dm AS (SELECT domain, suffix, (bad + kd.k * suffix_mean) / (n + kd.k) AS domain_mean FROM domains JOIN sm USING (suffix), kd),
-post AS (SELECT host, (bad + kh.k * domain_mean) / (n + kh.k) AS mean, n + kh.k AS weight FROM hosts JOIN dm USING (domain, suffix), kh),
-bounds AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) AS bound FROM post)
+post AS (SELECT host, bad + kh.k * domain_mean AS a, n - bad + kh.k * (1 - domain_mean) AS b FROM hosts JOIN dm USING (domain, suffix), kh),
+placed AS (SELECT host, a, b, ln(a / b) AS middle, sqrt(1 / a + 1 / (a * a) + 1 / b + 1 / (b * b)) / {PER_DEVIATION} AS step FROM post),
+points AS (SELECT *, middle + i * step AS t FROM placed, range(-{GRID}, {GRID + 1}) r(i)),
+masses AS (SELECT *, exp({_SQL_LOG.format("t")} - ({_SQL_LOG.format("middle")})) AS mass FROM points),
+sums AS (SELECT host, i, middle, step, mass, sum(mass) OVER (PARTITION BY host ORDER BY i) AS after, {1 - CONFIDENCE!r}::DOUBLE * sum(mass) OVER (PARTITION BY host) AS goal FROM masses),
+bounds AS (SELECT host, 1 / (1 + exp(-(middle + (i + 0.5::DOUBLE) * step - step * (after - goal) / mass))) AS bound FROM sums QUALIFY row_number() OVER (PARTITION BY host, after >= goal ORDER BY i) = 1 AND after >= goal)
 SELECT page_id, host, path, CASE {_CASES.format(*(r.name for r in _ORDERED))} END AS rule,
-coalesce(CASE {_CASES.format(*(r.verdict for r in _ORDERED))} END, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(bound, 6) AS bound
-FROM urls JOIN bounds USING (host)
+coalesce(CASE {_CASES.format(*(r.verdict for r in _ORDERED))} END, CASE WHEN bound > rate THEN 'block' ELSE 'allow' END) AS verdict, round(bound, 6) AS bound
+FROM urls JOIN bounds USING (host), overall
 """

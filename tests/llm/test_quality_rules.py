@@ -5,6 +5,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import quality_rules as Q
 
@@ -45,20 +46,20 @@ def brute_verdicts(docs, labels, max_rejection, delta):
     for (key, _, lang), x, bad in zip(docs, m, failed):
         if not bad and key in worst:
             (pool if worst[key] == 1 else junk).setdefault(lang, []).append(x)
-    level, risk = delta / (max(1, len(pool)) * len(Q.RULES)), max_rejection / len(Q.RULES)
+    level, steps = delta / max(1, len(pool)), [(r, c) for r in Q.RULES for c in r.cutoffs]
+    rejects = lambda x, upto: [r.name for r, c in steps[:upto] if x[r.numerator] > c * x[r.denominator]]
     used = {}
     for lang, good in pool.items():
-        for r in Q.RULES:
-            best = 0
-            for c in r.cutoffs:
-                k, caught = (sum(x[r.numerator] > c * x[r.denominator] for x in part) for part in (good, junk.get(lang, [])))
-                if Q.binomial_tail(k, len(good), risk) > level:
-                    break
-                if caught - k > best:
-                    best, used[lang, r.name] = caught - k, c
+        best = 0
+        for upto in range(1, len(steps) + 1):
+            k, caught = (sum(bool(rejects(x, upto)) for x in part) for part in (good, junk.get(lang, [])))
+            if Q.binomial_tail(k, len(good), max_rejection) > level:
+                break
+            if caught - k > best:
+                best, used[lang] = caught - k, upto
     out = []
     for (key, _, lang), x, bad in zip(docs, m, failed):
-        by = [r.name for r in Q.RULES if (lang, r.name) in used and x[r.numerator] > used[lang, r.name] * x[r.denominator]]
+        by = list(dict.fromkeys(rejects(x, used.get(lang, 0))))
         out.append((key, bad, by, not bad and not by))
     return out
 
@@ -69,7 +70,7 @@ def test_verdicts_equal_brute_force(spark):
     docs = [(i, plain(), rng.choice(["en", None])) for i in range(500)]
     docs += [(600 + i, " ".join(f"w{j}###" for j in range(70 + i)), rng.choice(["en", None, "xx"])) for i in range(30)] + [(5, "few", "en"), (None, None, "en"), (7, plain(), "en"), (7, "", None)]
     labels = [(i, 1) for i in range(450)] + [(600 + i, 0) for i in range(10)] + [(3, 0), (None, 1), (8, None), (5, 1)]
-    d = spark.createDataFrame([(a, b, c, 1, 2, "s") for a, b, c in docs], "doc_id long, text string, lang string, kept int, m int, stratum string")
+    d = spark.createDataFrame([(a, b, c, 1, 2, "s", 3, 4) for a, b, c in docs], "doc_id long, text string, lang string, kept int, m int, stratum string, id int, used int")
     got = [(r.doc_id, r.verdict.base_failed, r.verdict.rejected_by, r.verdict.kept) for r in Q.judge(d, spark.createDataFrame(labels, "doc_id long, quality int"), max_rejection=0.3).collect()]
     want = brute_verdicts(docs, labels, 0.3, 0.05)
     assert sorted(got, key=repr) == sorted(want, key=repr)
@@ -89,5 +90,18 @@ def test_query_equals_brute_force(spark):
     spark_rows = Q.op4_quality_rules(spark, SF).collect()
     want = brute_verdicts(docs, labels, 0.03, 0.05)
     assert sorted((r.doc_id, r.base_failed, r.kept) for r in spark_rows) == sorted((a, b, d) for a, b, _, d in want)
+    assert any(b and not a and not d for a, b, d in ((x[1], x[2], x[3]) for x in want))  # the method itself rejects some
     counts = {d[0]: brute(d[1]) for d in docs}
     assert all(r[x] == counts[r.doc_id][x] for r in spark_rows for x in Q.FIELDS[:5])
+
+
+def test_every_stratum_of_the_larger_table_certifies_steps(spark):
+    judged = Q.judge(*(spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")), columns=["doc_id", "lang"])
+    by = {r.lang: r.n for r in judged.where("NOT verdict.base_failed AND NOT verdict.kept").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert set(by) == {"de", "en", "es", "fr"} and min(by.values()) > 50
+
+
+def test_a_long_text():
+    text = " ".join(f"word{i % 999}#" for i in range(600_000))
+    got = Q.measure(pa.array([text, "short"]))[0].as_py()
+    assert got["n_words"] == got["n_symbols"] == got["n_repeat_words"] == 600_000
