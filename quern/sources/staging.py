@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_A_FILE = 100_000
+
 _LOCAL: dict[str, str] = {}
 _STAGED: dict[str, list[str]] = {}
 
@@ -32,7 +34,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The table, written and read back. `rows`, a bound of how many there are, keeps small tables in few files.
+
+    Each file costs a task, several round trips to the file system and, on a local
+    one, a process for its permissions; give no bound where a row is costly to make.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     _STAGED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
