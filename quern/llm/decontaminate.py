@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm._store import written
-from quern.llm._text import ALPHANUMERIC, ASCII_LOWER, as_text, byte_view, covered, find_words, hash_ranges, mix, rolling, runs, same_text, slices
+from quern.llm._store import unused, written
+from quern.llm._text import ALPHANUMERIC, ASCII_LOWER, as_text, byte_view, covered, find_words, hash_ranges, mix, release, rolling, runs, same_text, slices
 
 WINDOW, GRAM = 8, 4
 BLOCK_BYTES = 16 << 20
@@ -156,7 +156,9 @@ def _block_udf(spark, rows: list, window: int, gram: int):
 
     @F.arrow_udf(HITS)
     def hits(texts: pa.Array) -> pa.Array:
-        return find_hits(texts, shared.value)
+        out = find_hits(texts, shared.value)
+        release()
+        return out
 
     return hits.asNondeterministic()  # else a filter on the hits is pushed below, and they are searched twice
 
@@ -182,13 +184,14 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "found", text_c
         merged = merged.unionAll(other)
     positions = F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("f.hits")), lambda s: F.sequence(s["start"], s["end"] - 1)))))
     merged = written(merged.groupBy("digest").agg(positions.alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f.items")))).alias("items")), "hits")
-    joined = docs.withColumn("__digest", digest).join(merged.withColumnsRenamed({"digest": "__digest", "at": "__at", "items": "__items"}), "__digest", "left")
+    of, place, met = unused(docs, "digest", "at", "items")
+    joined = docs.withColumn(of, digest).join(merged.withColumnsRenamed({"digest": of, "at": place, "items": met}), of, "left")
     empty = F.array().cast("array<bigint>")
-    at = F.coalesce("__at", empty)
+    at = F.coalesce(place, empty)
     starts = F.filter(at, lambda x: ~F.array_contains(at, x - 1))
     ends = F.filter(at, lambda x: ~F.array_contains(at, x + 1))
     spans = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
-    struct = F.struct(_count_words(text).alias("n_words"), F.size(at).cast("long").alias("n_hit"), spans.alias("hits"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
+    struct = F.struct(_count_words(text).alias("n_words"), F.size(at).cast("long").alias("n_hit"), spans.alias("hits"), F.coalesce(met, F.array().cast("array<string>")).alias("items"))
     return joined.withColumn(name, struct).select(*[F.col(c) for c in docs.columns], name)
 
 
@@ -229,11 +232,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     A text of which nothing but hit words is left goes too. Texts without hits stay
     as they are.
     """
-    found = with_hits(docs, benchmark, "__found", text_col)
-    n_items, n_hit = F.size("__found.items"), F.col("__found.n_hit")
-    kept = found.where((n_items <= max_items) & ((n_hit == 0) | (n_hit < F.col("__found.n_words"))))
+    (name,) = unused(docs, "found")
+    found = with_hits(docs, benchmark, name, text_col)
+    n_items, n_hit = F.size(f"{name}.items"), F.col(f"{name}.n_hit")
+    kept = found.where((n_items <= max_items) & ((n_hit == 0) | (n_hit < F.col(f"{name}.n_words"))))
     # only few texts have hits, but a Python function under a condition runs on every row: give it empty texts for the rest
-    shortened = _cut(F.when(n_hit > 0, F.col(text_col).cast("string")).otherwise(F.lit("")), "__found.hits")
+    shortened = _cut(F.when(n_hit > 0, F.col(text_col).cast("string")).otherwise(F.lit("")), f"{name}.hits")
     text = F.when(n_hit > 0, shortened).otherwise(F.col(text_col))
     columns = [text.alias(c) if c == text_col else F.when(n_hit > 0, F.char_length(shortened).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == chars_col else F.col(c) for c in docs.columns]
     return kept.select(*columns)

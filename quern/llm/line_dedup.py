@@ -73,6 +73,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>"))
     counted = F.transform(parts, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     table = docs.select(F.col(id_col).alias("id"), *_keys(id_col, text), F.filter(counted, lambda x: x["w"] > 0).alias("lines"))
+    table = written(table, "texts")  # else a range sort's sample cuts all texts once more
     order = [F.col("id").asc_nulls_last(), F.col("key"), F.col("key2")]
     ordered = table.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     one = ordered.select("key", "key2", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
@@ -89,7 +90,7 @@ def ranked(places: DataFrame, keys: list[str], size: int) -> DataFrame:
     shared = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("places"), F.min("place").alias("first")).where("places > 1")
     parts = min(shuffle_partitions(places.sparkSession), 1 + size // 500_000)
     ranks = shared.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(*keys, "first", F.monotonically_increasing_id().alias("rank"))
-    return written(places.join(ranks, keys).drop(*keys), "places")
+    return written(places.join(ranks, keys).drop(*keys), "places", size)
 
 
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
@@ -114,17 +115,18 @@ def copied_runs(levels: list[DataFrame]) -> DataFrame:
     """(place, copied) of the places that begin a run which an earlier place begins, too; copied: its most lines."""
     later = F.col("place") > F.col("first")
     # at level j are the places for which no run of 2**(j + 1) is known, and the firsts that stand for those
+    sizes = [x.count() for x in levels]
     opened = [x.join(up.where(later).select("place"), "place", "left_anti") for x, up in zip(levels, levels[1:], strict=False)] + levels[-1:]
     at = None
     for j in range(len(levels) - 1, 0, -1):
         own = opened[j].select(F.lit(j).alias("level"), F.lit(1 << j).cast("long").alias("low"), "first", "place")
         ranks = _united([x.select(F.lit(k).alias("level"), F.col("place").alias("at"), F.col("rank").alias("next")) for k, x in enumerate(levels) if k >= j])
-        at = _halved(own if at is None else at.unionAll(own), ranks, j - 1)
+        at = _halved(own if at is None else at.unionAll(own), ranks, j - 1, 2 * sizes[j])
     done = opened[0].where(later).select("place", F.lit(1).cast("long").alias("copied"))
     return done if at is None else done.unionAll(at.where(later).select("place", F.col("low").alias("copied")))
 
 
-def _halved(at: DataFrame, ranks: DataFrame, i: int) -> DataFrame:
+def _halved(at: DataFrame, ranks: DataFrame, i: int, size: int) -> DataFrame:
     """Splits the intervals of depth `low`, all on levels over i, at depth low + 2**i.
 
     A prefix of that depth is the interval and the rank, on its level, of the
@@ -133,7 +135,7 @@ def _halved(at: DataFrame, ranks: DataFrame, i: int) -> DataFrame:
     """
     step, columns = 1 << i, ["level", "low", "first", "place"]
     ends = at.withColumn("at", F.expr("place + low - shiftleft(1L, level)") + step)
-    seen = written(ends.join(ranks, ["level", "at"], "left").select(*columns, "next"), "seen")
+    seen = written(ends.join(ranks, ["level", "at"], "left").select(*columns, "next"), "seen", size)
     known, keys = seen.where("next IS NOT NULL"), ["level", "low", "first", "next"]
     both = known.join(known.groupBy(*keys).agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("places")), keys)
     kept = F.when(F.col("places") > 1, F.struct((F.col("low") + step).alias("low"), F.col("least").alias("first")))

@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm._store import exactly_once, written
+from quern.llm._store import exactly_once, row_keys, unused, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BLOCK = 4096
+BLOCK, PIECE = 4096, 100_000
 FAN_IN = 1024
 _EPS = 1e-9
 
@@ -156,28 +156,41 @@ def balanced_counts(units: DataFrame, stats: DataFrame, block: int = BLOCK, fan_
     return out.select("unit", "rank", "size", (F.col("base") + F.col("p").cast("long")).alias("copies"))
 
 
+def _told_apart(units: DataFrame) -> DataFrame:
+    """`units` with `place`, a hash that differs between equal rows, too: they are counted, numbered in pieces and spread."""
+    most = units.groupBy("key", "key2").count().agg(F.max("count")).first()[0] or 0
+    if most <= 1:
+        return units.withColumn("place", F.col("key"))
+    counted = units.groupBy(*units.columns).agg(F.count(F.lit(1)).alias("times"))
+    pieces = counted.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(PIECE).cast("long")))).repartition("key", "low")
+    turns = pieces.withColumn("turn", F.explode(F.sequence("low", F.least(F.col("low") + PIECE, F.col("times")) - 1)))
+    return turns.withColumn("place", F.when(F.col("turn") == 0, F.col("key")).otherwise(F.xxhash64("key", "turn")))
+
+
 def word_count(text: str):
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, block: int = BLOCK, fan_in: int = FAN_IN, seed: int = 20) -> DataFrame:
-    """One row per text: id, digest (of id and text), size, source_size, target and copies."""
+    """One row per text: id, digest and digest2 (of id and text), size, source_size, target and copies."""
     text = F.col(text_col).cast("string")
-    columns = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.col(id_col), text).alias("key")]
-    units = written(docs.select(*columns), "units")
+    key, key2 = row_keys(id_col, text)
+    units = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), key.alias("key"), key2.alias("key2")), "units")
     stats = written(targets(units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, most), "targets")
-    counts = balanced_counts(units.select(F.struct("id", "key").alias("unit"), "source", "size", "key"), stats, block, fan_in, seed)
+    counts = balanced_counts(_told_apart(units).select(F.struct("id", "key", "key2").alias("unit"), "source", "size", F.col("place").alias("key")), stats, block, fan_in, seed)
     shown = stats.select("rank", "source", "source_size", "target")
-    return counts.join(shown, "rank").select(F.col("unit.id").alias(id_col), F.col("unit.key").alias("digest"), "size", "source", "source_size", "target", "copies")
+    return counts.join(shown, "rank").select(F.col("unit.id").alias(id_col), F.col("unit.key").alias("digest"), F.col("unit.key2").alias("digest2"), "size", "source", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """`docs` as mixed: each row as often as it is taken."""
     counts = mix(docs, id_col, text_col, source_col)
-    keep = written(counts.groupBy("digest").agg(F.sum("copies").alias("__copies"), (F.count(F.lit(1)) > 1).alias("repeated")).where("__copies > 0").withColumnRenamed("digest", "__key"), "copies")
-    rows = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
-    taken = exactly_once(rows, keep, ["__key"])
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    key, key2, copies, turn = unused(docs, "key", "key2", "copies", "turn")
+    summed = counts.groupBy(F.col("digest").alias(key), F.col("digest2").alias(key2)).agg(F.sum("copies").alias(copies), (F.count(F.lit(1)) > 1).alias("repeated"))
+    keep = written(summed.where(F.col(copies) > 0), "copies")
+    rows = docs.withColumns(dict(zip((key, key2), row_keys(id_col, F.col(text_col).cast("string")), strict=True)))
+    taken = exactly_once(rows, keep, [key, key2])
+    return taken.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:

@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm._components import components
-from quern.llm._store import exactly_once, shuffle_partitions, written
-from quern.llm._text import ASCII_LOWER, NON_SPACE, as_text, byte_view, find_words, hash_ranges, mix, rolling, slices
+from quern.llm._store import exactly_once, row_keys, shuffle_partitions, unused, written
+from quern.llm._text import ASCII_LOWER, NON_SPACE, as_text, byte_view, find_words, hash_ranges, mix, release, rolling, slices
 from quern.llm.simhash_dedup import majority, shard_groups
 
 SIMILARITY, WIDTH = 0.8, 5
@@ -81,6 +81,7 @@ def long_simhash(texts: pa.Array, width: int = WIDTH, words: int = WORDS) -> np.
         for w in range(words):
             h = mix(values + np.uint64((w + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
             out[lo + full, w] = majority(h, step)
+    release()
     return out
 
 
@@ -122,7 +123,9 @@ def _long_fingerprint(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.BinaryType())
 def _shingles(texts: pa.Array) -> pa.Array:
-    return pa.array([x.tobytes() for x in shingle_sets(texts)], pa.binary())
+    out = pa.array([x.tobytes() for x in shingle_sets(texts)], pa.binary())
+    release()
+    return out
 
 
 def _dealer(chosen: np.ndarray):
@@ -180,7 +183,8 @@ def candidate_groups(prints: DataFrame, similarity: float = SIMILARITY, split: i
     n = prints.count()
     chosen = tree_bits(n, similarity)
     parts = max(shuffle_partitions(prints.sparkSession), -(-n * len(chosen) // 300_000))
-    return components(deal(prints, n, chosen, split).repartition(parts, "shard").mapInArrow(_linker(reach(similarity, 64 * WORDS)), "a long, b long"))
+    spread = prints.repartition(parts, "key")  # a task's share enters many shards
+    return components(deal(spread, n, chosen, split).repartition(parts, "shard").mapInArrow(_linker(reach(similarity, 64 * WORDS)), "a long, b long"), len(chosen) * n)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -275,15 +279,19 @@ def near_copies(members: DataFrame, similarity: float = SIMILARITY, piece: int =
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
     """`docs` without rows that are as similar to a row of their group that stays."""
     text = F.col(text_col).cast("string")
-    key = F.xxhash64(F.col(id_col), text).alias("__key")
-    rows = written(docs.select(F.col(id_col).alias("id"), key, _long_fingerprint(text).alias("print")).withColumn("node", F.xxhash64("print")), "long-prints")
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__key")).alias("row")
-    nodes = written(rows.groupBy("node").agg(F.substring(F.first("print"), 1, 8 * WORDS).alias("print"), first), "nodes")
-    groups = candidate_groups(nodes.select(F.col("node").alias("key"), "print"), similarity)
-    linked = written(nodes.join(groups, "node").select(F.col("row.__key").alias("__key"), "row.id", "root"), "linked")
-    own = docs.select(key, text.alias("__text")).join(linked.hint("merge"), "__key").dropDuplicates(["__key"])
-    members = written(own.select("root", F.col("__key").alias("key"), "id", _shingles("__text").alias("set")), "members")
-    drop = near_copies(members, similarity, piece).select(F.col("key").alias("__key"))
-    times = rows.groupBy("__key").agg((F.count(F.lit(1)) > 1).alias("repeated"))
-    keep = written(nodes.select("row.__key").join(drop, "__key", "left_anti").join(times, "__key"), "kept")
-    return exactly_once(docs.select("*", key), keep, ["__key"]).select(*docs.columns)
+    names = unused(docs, "key", "key2")
+    keys = [k.alias(n) for k, n in zip(row_keys(id_col, text), ("key", "key2"), strict=True)]
+    rows = written(docs.select(F.col(id_col).alias("id"), *keys, F.monotonically_increasing_id().alias("row"), _long_fingerprint(text).alias("print")), "long-prints")
+    n = rows.count()
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "key2", "row")).alias("first")
+    nodes = written(rows.groupBy("print").agg(first).select(F.substring("print", 1, 8 * WORDS).alias("print"), "first.row", "first.key", "first.key2", "first.id"), "nodes", n)
+    groups = candidate_groups(nodes.select(F.col("row").alias("key"), "print"), similarity)
+    linked = written(nodes.join(groups.withColumnRenamed("node", "row"), "row").select("row", "key", "key2", "id", "root"), "linked", n)
+    own = docs.select(*keys, text.alias("text")).join(linked.hint("merge"), ["key", "key2"]).dropDuplicates(["row"])
+    members = written(own.select("root", F.col("row").alias("key"), "id", _shingles("text").alias("set")), "members")
+    drop = near_copies(members, similarity, piece).select(F.col("key").alias("row"))
+    times = rows.groupBy("key", "key2").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    kept = nodes.select("row", "key", "key2").join(drop, "row", "left_anti").join(times, ["key", "key2"])
+    keep = written(kept.select(*[F.col(k).alias(n) for k, n in zip(("key", "key2"), names, strict=True)], "repeated"), "kept", n)
+    own_keys = [k.alias(n) for k, n in zip(row_keys(id_col, text), names, strict=True)]
+    return exactly_once(docs.select("*", *own_keys), keep, names).select(*docs.columns)

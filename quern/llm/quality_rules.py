@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm._store import written
-from quern.llm._text import NON_SPACE, as_text, byte_view, covered, find_words, hash_ranges, mix, rolling, same_text, slices
+from quern.llm._text import NON_SPACE, as_text, byte_view, covered, find_words, hash_ranges, mix, release, rolling, same_text, slices
 
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs"]
 MEASURES = T.StructType([T.StructField(x, T.LongType()) for x in FIELDS])
@@ -90,7 +90,9 @@ def measure(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(MEASURES)
 def _measures(texts: pa.Array) -> pa.Array:
-    return measure(texts)
+    out = measure(texts)
+    release()
+    return out
 
 
 # A filter on a deterministic function's result is pushed below it, and the function runs twice.

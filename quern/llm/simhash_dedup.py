@@ -55,8 +55,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quern.llm._components import components
-from quern.llm._store import exactly_once, shuffle_partitions, written
-from quern.llm._text import ASCII_LOWER, NON_SPACE, as_text, byte_view, find_words, mix, slices
+from quern.llm._store import exactly_once, row_keys, shuffle_partitions, unused, written
+from quern.llm._text import ASCII_LOWER, NON_SPACE, as_text, byte_view, find_words, mix, release, slices
 
 RADIUS, BITS = 4, 64
 SHARD_SIZE, SPLIT, SAMPLE, POINTS = 4096, 65_536, 1024, 4096
@@ -110,6 +110,7 @@ def simhash(texts: pa.Array, width: int = 4, seed: int = 42) -> np.ndarray:
         full = np.flatnonzero(shingles)
         step = np.concatenate([[0], np.cumsum(shingles[full])])
         out[lo + full] = majority(values, step)
+    release()
     return out
 
 
@@ -342,13 +343,14 @@ def deal(distinct: DataFrame, forest: Forest, n: int, split: int = SPLIT) -> Dat
 
 def link_groups(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE, split: int = SPLIT) -> DataFrame:
     """(node, root) of all fingerprints in `prints` (fp) that have a link to another."""
-    distinct = written(prints.select("fp").where("fp IS NOT NULL").distinct(), "prints")
+    distinct = written(prints.select("fp").where("fp IS NOT NULL").distinct(), "prints", prints.count())
     n = distinct.count()
     points = np.array([r["fp"] for r in distinct.orderBy(F.xxhash64("fp", F.lit(2)), "fp").limit(POINTS).collect()], np.int64).view(np.uint64)
     forest = Forest.of(points, n, radius, shard_size)
     entered = sum(len(forest.route(points, t)[0]) for t in range(len(forest.masks))) / max(len(points), 1)
     parts = max(shuffle_partitions(prints.sparkSession), math.ceil(n * entered / 1_000_000))
-    return components(deal(distinct, forest, n, split).repartition(parts, "tree", "shard").mapInArrow(_linker(forest, radius), "a long, b long"))
+    spread = distinct.repartition(parts, "fp")  # a task's share enters many shards
+    return components(deal(spread, forest, n, split).repartition(parts, "tree", "shard").mapInArrow(_linker(forest, radius), "a long, b long"), len(forest.masks) * n)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard_size: int = SHARD_SIZE, split: int = SPLIT) -> DataFrame:
@@ -356,9 +358,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(docs.select(F.col(id_col).alias("id"), fingerprint(text_col).alias("fp")), "fingerprints")
     groups = link_groups(rows, radius, shard_size, split)
     smallest = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    known = written(smallest.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "members")
-    best = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
-    labels = written(known.join(best, "root").select("fp", "component_id"), "labels")
+    known = written(smallest.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "members", rows.count())
+    best = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "groups", rows.count())
+    labels = written(known.join(best, "root").select("fp", "component_id"), "labels", rows.count())
     return rows.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -367,17 +369,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that are equal throughout count once. Texts are shuffled once.
     """
-    text = F.col(text_col).cast("string")
-    keys = [F.xxhash64(F.col(id_col), text).alias("__key"), F.hash(text, F.col(id_col)).alias("__hash")]
-    rows = written(docs.select(F.col(id_col).alias("id"), *keys, fingerprint(text_col).alias("fp")), "fingerprints")
+    names = unused(docs, "key", "key2")
+    keys = row_keys(id_col, F.col(text_col).cast("string"))
+    rows = written(docs.select(F.col(id_col).alias("id"), keys[0].alias("key"), keys[1].alias("key2"), fingerprint(text_col).alias("fp")), "fingerprints")
     groups = link_groups(rows, radius)
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__key", "__hash")).alias("row")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "key2")).alias("row")
     smallest = rows.groupBy("fp").agg(first)
     known = smallest.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    chosen = known.groupBy("root").agg(F.min("row").alias("row")).select("row.__key", "row.__hash")
-    times = rows.groupBy("__key", "__hash").agg((F.count(F.lit(1)) > 1).alias("repeated"))
-    keep = written(chosen.join(times, ["__key", "__hash"]), "kept")
-    return exactly_once(docs.select("*", *keys), keep, ["__key", "__hash"]).select(*docs.columns)
+    chosen = known.groupBy("root").agg(F.min("row").alias("row")).select("row.key", "row.key2")
+    times = rows.groupBy("key", "key2").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    keep = written(chosen.join(times, ["key", "key2"]).withColumnsRenamed(dict(zip(("key", "key2"), names, strict=True))), "kept", rows.count())
+    return exactly_once(docs.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)]), keep, names).select(*docs.columns)
 
 
 def op7_simhash_dedup(spark, sf_dir: str) -> DataFrame:

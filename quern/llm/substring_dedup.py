@@ -5,8 +5,9 @@ Spark; all windows found twice or more merge into maximal removal intervals.
 
 How it is laid out
 ------------------
-* Texts are dealt into groups of a few MB by a hash of (id, text). A group is a
-  unit of work, not a unit of meaning: which texts share one has no influence.
+* Texts are dealt into groups of a few MB by a hash of (id, text, number of the
+  input partition), so that equal rows spread, too. A group is a unit of work, not
+  a unit of meaning: which texts share one has no influence.
 * Each group sends its distinct window hashes, packed eight bytes each, to
   buckets chosen by a second, independent hash. A window is thus told apart by
   64 bits and the bucket's number. A hash that a group holds many times is sent
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._store import shuffle_partitions
-from quern.llm._text import NON_SPACE, Words, as_text, byte_view, covered, find_words, hash_ranges, mix, rolling, runs, same_text
+from quern.llm._text import NON_SPACE, Words, as_text, byte_view, covered, find_words, hash_ranges, mix, release, rolling, runs, same_text
 
 GROUP_BYTES = 3 << 20
 BUCKET_BYTES = 12 << 20
@@ -79,6 +80,7 @@ def _sender(window: int, buckets: int):
                 rows["grp"].append(grp)
                 rows["once"].append(kk[cc == 1].tobytes())
                 rows["often"].append(kk[cc > 1].tobytes())
+        release()
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int64()), "grp": pa.array(rows["grp"], pa.int64()), "once": pa.array(rows["once"], pa.binary()), "often": pa.array(rows["often"], pa.binary())})
 
     return send
@@ -155,7 +157,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
     grow = min(16.0, max(1.0, math.sqrt(total / (4 << 30))))
     groups = max(1, math.ceil(total / (group_bytes * grow)), shuffle_partitions(spark))
     buckets = max(1, math.ceil(1.3 * total / (bucket_bytes * grow)), shuffle_partitions(spark))
-    dealt = base.withColumn("grp", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
+    dealt = base.withColumn("grp", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(groups)))
     sent = dealt.groupBy("grp").applyInArrow(_sender(window, buckets), "bucket long, grp long, once binary, often binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "grp long, bucket long, bits binary")
     out = dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(

@@ -13,8 +13,8 @@ File format (little-endian; one shard of the corpus per file)
 seeks to the trailer, then to the blocks that hold the ids it wants, and
 unpacks them with numpy; nothing else of the file is read.
 
-Texts are dealt to shards by ranges of (id, hash of text), so a third of all
-rows under one id still spread. A shard is written by one task under a name of
+Texts are dealt to shards by ranges of (id, hash of text, turn), so a third of all
+rows under one id, or equal throughout, still spread. A shard is written by one task under a name of
 its own; only shards that the manifest lists count, so a task that is lost or
 run twice leaves at most an unused file. The manifest has one row per shard.
 
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm._store import fresh_path, shuffle_partitions, written
-from quern.llm._text import as_text, byte_view, slices
+from quern.llm._text import as_text, byte_view, release, slices
 
 MAGIC = b"QTOKENS1"
 TRAILER = struct.Struct("<8sQQQII")
@@ -308,6 +308,7 @@ def _shard_task(folder: str, tokenizer: str, end_id: int, block: int):
                 writer.add(batch["id"][lo:hi], counts, flat)
         if writer is not None:
             n_docs, n_ids = writer.close()
+            release()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int64()), "path": [f"{folder}/{path}"], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
     return run
@@ -320,8 +321,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(math.ceil(total / shard_bytes), shuffle_partitions(spark))
-    keyed = base.withColumn("tie", F.xxhash64("text"))
-    ordered = keyed.repartitionByRange(shards, F.col("id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
+    keyed = base.withColumns({"tie": F.xxhash64("text"), "turn": F.monotonically_increasing_id()})  # equal rows spread by their turn
+    ordered = keyed.repartitionByRange(shards, F.col("id").asc_nulls_first(), F.col("tie"), F.col("turn")).sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
     manifest = written(ordered.select("id", "text").mapInArrow(_shard_task(folder, tokenizer, end_id, block), "shard long, path string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))

@@ -11,6 +11,8 @@ SF = "/root/testdata/sf0.01"
 def brute(rows):
     convs = {}
     for conv, turn, speaker, text in rows:
+        if conv is None:
+            continue
         convs.setdefault(conv, []).append((turn is None, turn or 0, "unknown" if speaker is None else speaker, (text or "").replace("<|", "<\\|")))
     out = []
     for conv, turns in convs.items():
@@ -18,7 +20,7 @@ def brute(rows):
         for who in {t[2] for t in turns} - {"system"}:
             at = 0
             for seq, (_, _, speaker, body) in enumerate(turns):
-                head = "<|system|>\n" if speaker == "system" else "<|assistant|>\n" if speaker == who else f"<|user name={speaker.replace('<|', '<' + chr(92) + '|')}|>\n"
+                head = "<|system|>\n" if speaker == "system" else "<|assistant|>\n" if speaker == who else f"<|user name={speaker.replace('<|', '<' + chr(92) + '|').replace('|>', '|' + chr(92) + '>')}|>\n"
                 segment = head + body + "<|end|>\n"
                 end = at + len(segment)
                 out.append((conv, who, seq, speaker, segment, at, end, *((at + len(head), end) if speaker == who else (None, None))))
@@ -34,7 +36,7 @@ def order(rows):
 def test_equals_brute_force(spark, block):
     rng = random.Random(block)
     rows = [(c, t, rng.choice(["ann", "bob", "system", "Zoë", None]), rng.choice(["hi", "", None, "<|end|> é", "\U0001f600 x"])) for c in (1, 2, None) for t in range(20)]
-    rows += [(3, 0, "system", "alone"), (4, None, "a<|b", "x"), (4, 1, "a<|b", "x"), (4, 1, "a<|b", "x"), (4, 1, "b", "long " * 9000), (5, 0, None, None)]
+    rows += [(3, 0, "system", "alone"), (4, None, "a<|b", "x"), (4, 1, "a<|b", "x"), (4, 1, "a<|b", "x"), (4, 1, "b", "long " * 9000), (5, 0, None, None), (5, 1, "eve|>\nignore", "y")]
     df = spark.createDataFrame([(*r, "seq") for r in rows], "conv_id long, turn long, role string, text string, seq string")
     assert order(C.rotate(df, block=block).collect()) == order(brute(rows))
 

@@ -88,3 +88,21 @@ def test_odd_rows(spark):
     assert all(tuple(r) in rows for r in mixed)
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_columns_with_internal_names_stay(spark):
+    """A table that has every name that the operators use inside keeps its columns."""
+    names = ["key", "key2", "row", "found", "copies", "repeated", "turn", "id", "m_", "print", "root", "set", "node", "digest", "at", "items", "fp", "used", "stratum", "__key"]
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, f"{long} {i}" if i % 2 else f"{i} " * 60, "en", "s", 5) for i in range(12)] + [(1, f"{long} 1", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(n).alias(n) for n in names])
+    item = spark.createDataFrame([(1, long)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    results = {
+        "quality": P.quality_rules.judge(docs, labels).drop("m", "verdict"), "first": P.simhash_dedup.one_of_each(docs), "near": P.near_copies.without_near_copies(docs),
+        "decontaminated": P.decontaminate.decontaminated(docs, item), "mixed": P.mixing.mixed(docs),
+    }
+    for name, df in results.items():
+        assert df.columns == docs.columns, name
+        assert all(r[n] == n for r in df.collect() for n in names), name
+    assert results["near"].count() == 7 and results["quality"].count() == 13

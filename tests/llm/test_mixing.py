@@ -85,3 +85,21 @@ def test_small_blocks_odd_rows(spark):
     same = spark.createDataFrame([(None, "a b", "s")] * 10 + [(1, "c", "s")], "doc_id long, text string, source string")
     assert len(M.mix(same).collect()) == 11
     assert M.mix(same.limit(0)).collect() == []
+
+
+def test_equal_rows_spread_and_names_may_clash(spark):
+    """30,000 equal rows go to many blocks, each is taken about as often as the others, and no column is touched."""
+    from pyspark.sql import functions as F
+
+    clash = [F.lit(x).alias(x) for x in ("key", "key2", "copies", "turn", "repeated", "size", "place", "times", "low", "unit")]
+    same = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("big").alias("source"), *clash)
+    other = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("d " * 50).alias("text"), F.lit("a").alias("source"), *clash)
+    docs = same.repartition(6).unionAll(other)
+    units = docs.select(F.col("doc_id").alias("id"), "source", F.lit(3).cast("long").alias("size"), *[k.alias(n) for k, n in zip(M.row_keys("doc_id", F.col("text")), ("key", "key2"))])
+    assert M._told_apart(units).where("id = 7").select("place").distinct().count() == 30_000
+    rows = M.mix(docs).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 100 for r in rows) and sorted(r.n for r in rows) == [100, 30_000]
+    mixed = M.mixed(docs)
+    assert mixed.columns == docs.columns and mixed.where("key <> 'key' OR copies <> 'copies' OR repeated <> 'repeated'").count() == 0
+    total = {r.source: r.taken for r in rows}
+    assert mixed.where("source = 'big'").count() * 3 == total["big"] and mixed.where("source = 'a'").count() * 50 == total["a"]

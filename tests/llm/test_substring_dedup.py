@@ -48,3 +48,21 @@ def test_query_on_whole_table(spark):
     import hashlib
 
     assert order([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got]) == order([(a, b, c, hashlib.sha256(d.encode()).hexdigest()) for a, b, c, d in brute(rows, 35)])
+
+
+def test_equal_rows_spread(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(40))
+    same = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(6)
+    df = same.unionAll(spark.createDataFrame([(2, "own words " * 3), (3, "x " + text)], "doc_id long, text string"))
+    got = remove_repeated_windows(df, group_bytes=1 << 16).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 40, 40, 10_000), (2, 6, 0, 1), (3, 41, 40, 1)]
+
+
+def test_a_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(400_000))
+    df = spark.createDataFrame([(1, text), (2, text[:5000]), (3, "x")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeated_windows(df).select("doc_id", "n_words", "n_removed").collect()}
+    n = len(text[:5000].split())
+    assert got[1][0] == 400_000 and got[1][1] == got[2][1] >= n - 1 and got[3] == (1, 0)

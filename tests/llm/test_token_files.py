@@ -96,3 +96,14 @@ def test_repeated_ids_and_empty_table(spark):
     assert [r[0] for r in got] == [1, 1, 1, 2] and [r[1] for r in got] == list(np.cumsum([0, *[r[2] for r in got[:-1]]]))
     assert sorted(r[2:] for r in got) == sorted(r[2:] for r in expected([(1, "a b"), (1, "a b"), (1, "c"), (2, "d")]))
     assert K.read_token_files(K.write_token_files(df.limit(0), PATH)).collect() == []
+
+
+def test_equal_rows_spread(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(10_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("the same words").alias("text")).repartition(4)
+    manifest = K.write_token_files(df, PATH, shard_bytes=20_000)
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == 10_000 and len(sizes) > 4 and max(sizes) < 5_000
+    starts = [r.start for r in K.read_token_files(manifest).orderBy("start").select("start").collect()]
+    assert starts == list(range(0, 10_000 * (starts[1] - starts[0]), starts[1] - starts[0]))
