@@ -57,7 +57,8 @@ def unpack(spark, args):
         raise ValueError(f"the dataset is not sound: {bad}")
     chosen = getattr(args, "paths", None) or []
     folders = d.directories.where(store.paths.selected(d.directories["path"], chosen))
-    return _rows(store.write_tree(store.extract(d, chosen), args.output, folders, args.overwrite, args.restore_permissions))
+    needed = d.files.where(store.paths.selected(d.files["path"], chosen)).agg({"size": "sum"}).first()[0] or 0
+    return _rows(store.write_tree(store.extract(d, chosen), args.output, folders, args.overwrite, args.restore_permissions, needed))
 
 
 def verify(spark, args):
@@ -66,8 +67,8 @@ def verify(spark, args):
 
 
 def verify_deterministic(spark, args):
-    contents, folders, excluded = _read(spark, args)
-    digests = [store.dataset_digest(store.pack(contents, _options(args), folders, excluded)) for _ in range(2)]
+    """Whether two datasets hold the same tables."""
+    digests = [store.dataset_digest(store.open_dataset(spark, path)) for path in (args.first, args.second)]
     return {"valid": digests[0] == digests[1], "digests": digests}
 
 
@@ -79,7 +80,11 @@ def migrate(spark, args):
 def benchmark(spark, args):
     contents, _, _ = _read(spark, args)
     rows = measure.benchmark(contents, args.profile, args.repeats)
-    return {"rows": rows, "markdown": measure.markdown(rows)}
+    text = measure.markdown(rows)
+    if args.markdown:
+        with open(args.markdown, "w", encoding="utf-8") as f:
+            f.write(text + "\n")
+    return {"rows": rows, "markdown": text}
 
 
 def doctor(spark, args=None):
@@ -142,9 +147,10 @@ def parser() -> argparse.ArgumentParser:
     for name in ("list", "inspect", "explain", "compatibility"):
         add(name, "dataset")
     add("verify", "dataset").add_argument("--quick", action="store_true")
-    add("verify-deterministic", "inputs", packing=True)
+    add("verify-deterministic", "first", "second")
     add("migrate", "source", "dataset").add_argument("--overwrite", action="store_true")
     add("benchmark", "inputs", packing=True).add_argument("--repeats", type=int, default=3)
+    commands.choices["benchmark"].add_argument("--markdown", metavar="FILE")
     add("doctor")
     return out
 

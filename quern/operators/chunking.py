@@ -130,8 +130,9 @@ def ordered_bytes(refs: DataFrame) -> DataFrame:
     fit a row use `file_digests`, which streams.
     """
     parts = F.array_sort(F.collect_list(F.struct("ordinal", "raw")))
-    joined = F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x["raw"]))
-    return refs.groupBy("path").agg(joined.alias("content"))
+    # bytes as characters of one byte: an array is joined in one go, a fold would copy the file for each chunk
+    joined = F.array_join(F.transform(parts, lambda x: F.decode(x["raw"], "ISO-8859-1")), "")
+    return refs.groupBy("path").agg(F.encode(joined, "ISO-8859-1").alias("content"))
 
 
 def file_digests(refs: DataFrame) -> DataFrame:

@@ -10,13 +10,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import paths
+from quern.operators.ordered import TotalOrder
 
 SAMPLE_BYTES = 256 << 10
 GOALS = ("balanced", "smallest", "prefer-store", "prefer-zstd-low", "avoid-zlib")
@@ -57,22 +59,34 @@ class Codec:
     unpack: Callable[[bytes, int, bytes | None], bytes]
 
 
-def _zstd_dict(raw: bytes | None):
+@lru_cache(maxsize=64)
+def _zstd_dict(raw: bytes):
     import zstandard
 
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+    return zstandard.ZstdCompressionDict(raw)
 
 
-def _zstd_pack(data: bytes, level: int | None, dictionary: bytes | None) -> bytes:
+@lru_cache(maxsize=64)
+def _zstd_compressor(level: int, dictionary: bytes | None):
+    """Contexts are dear to make, so a worker keeps one for each level and dictionary."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3 if level is None else level, dict_data=_zstd_dict(dictionary)).compress(data)
+    return zstandard.ZstdCompressor(level=level, dict_data=_zstd_dict(dictionary) if dictionary else None)
 
 
-def _zstd_unpack(data: bytes, size: int, dictionary: bytes | None) -> bytes:
+@lru_cache(maxsize=64)
+def _zstd_decompressor(dictionary: bytes | None):
     import zstandard
 
-    return zstandard.ZstdDecompressor(dict_data=_zstd_dict(dictionary)).decompress(data, max_output_size=size)
+    return zstandard.ZstdDecompressor(dict_data=_zstd_dict(dictionary) if dictionary else None)
+
+
+def _zstd_pack(data: bytes, level: int | None, dictionary: bytes | None) -> bytes:
+    return _zstd_compressor(3 if level is None else level, dictionary or None).compress(data)
+
+
+def _zstd_unpack(data: bytes, size: int, dictionary: bytes | None) -> bytes:
+    return _zstd_decompressor(dictionary or None).decompress(data, max_output_size=size)
 
 
 def _zlib_unpack(data: bytes, size: int, dictionary: bytes | None) -> bytes:
@@ -204,8 +218,8 @@ def choose(scored_candidates: DataFrame, forced: bool = False) -> DataFrame:
 def dictionary_samples(files: DataFrame) -> DataFrame:
     """(path, category, sample): heads of text files in path order, up to a total per category.
 
-    A category's running total is a window over lengths only; it is bounded for
-    what is kept, but scans all files of a category, so heads are cut off first.
+    A category's running total is taken over lengths alone, in ranges of the total
+    order of all files; heads are read again for what is kept.
     """
     head = F.substring("content", 1, FILE_SAMPLE_BYTES)
     own = files.select("path", paths.category(F.col("path")).alias("category"), head.alias("head")).where((F.col("category") != "other") & (F.octet_length("head") > 0) & ~F.contains("head", F.lit(b"\0")))
@@ -214,10 +228,12 @@ def dictionary_samples(files: DataFrame) -> DataFrame:
 
 def bounded_samples(own: DataFrame, limit: int = CATEGORY_SAMPLE_BYTES) -> DataFrame:
     """`own` (path, category, head), the heads clipped to a running total of `limit` bytes per category."""
-    w = Window.partitionBy("category").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.octet_length("head").cast("long")).over(w), F.lit(0).cast("long"))
-    kept = own.withColumn("before", before).where(F.col("before") < limit)
-    return kept.select("path", "category", F.substring(F.col("head"), F.lit(1), (F.lit(limit) - F.col("before")).cast("int")).alias("sample"))
+    lengths = own.select("category", "path", F.octet_length("head").cast("long").alias("n"))
+    placed = TotalOrder(lengths, "category", "path").running_sum("n", "sum", inclusive=False).rows()
+    starts = placed.groupBy("category").agg(F.min("sum").alias("start"))
+    kept = placed.join(starts, "category").select("category", "path", (F.col("sum") - F.col("start")).alias("before")).where(F.col("before") < limit)
+    heads = own.join(kept, ["category", "path"])
+    return heads.select("path", "category", F.substring(F.col("head"), F.lit(1), (F.lit(limit) - F.col("before")).cast("int")).alias("sample"))
 
 
 def train_dictionaries(samples: DataFrame) -> DataFrame:

@@ -12,10 +12,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import numbers
 from quern.operators.ordered import PART, TotalOrder
 
+#: Integers of more digits are kept as texts: their differences would not fit a decimal(38,0).
+MAX_DIGITS = 37
+#: Positions of a run that one row unfolds.
+PIECE = 65_536
+
 ENCODINGS = ("delta", "delta-of-delta", "bit-pack", "dictionary", "rle", "ieee-754", "plain")
 
 
@@ -24,6 +30,11 @@ def non_null(value: str | Column) -> Column:
     return F.when(value != "", value)
 
 
+def digits(value: Column) -> Column:
+    """How many digits an integer's text has, without sign and leading zeros."""
+    return F.length(F.regexp_replace(value, "^[+-]?0*", ""))
+
+
 # --- inference ---------------------------------------------------------------
 
 
@@ -72,12 +83,18 @@ def infer(df: DataFrame, ordinal: str, columns: list[str], time_field: str | Non
 
 
 def monotonic_columns(df: DataFrame, ordinal: str, names: list[str]) -> dict[str, bool]:
-    """Whether the non-null integers of each column never fall; true for an empty one.
+    """Whether the non-null integers of each column never fall; true for an empty one, false where one has over MAX_DIGITS digits.
 
     One range sort for all columns: a column rises if it does so within every
     range, and no range's smallest value lies below the largest of those before.
     """
-    numbers_of = [F.expr(f"try_cast(`{c}` AS decimal(38,0))").alias(f"n{i}") for i, c in enumerate(names)]
+    texts = {c: non_null(F.col(c).cast("string")) for c in names}
+    long = df.agg(*[F.coalesce(F.max(digits(t)), F.lit(0)).alias(f"n{i}") for i, t in enumerate(texts.values())]).first()
+    too_long = {c for i, c in enumerate(names) if long[f"n{i}"] > MAX_DIGITS}
+    if too_long:
+        rest = [c for c in names if c not in too_long]
+        return dict.fromkeys(too_long, False) | (monotonic_columns(df, ordinal, rest) if rest else {})
+    numbers_of = [texts[c].try_cast("decimal(38,0)").alias(f"n{i}") for i, c in enumerate(names)]
     ranges = TotalOrder(df.select(F.col(ordinal).alias("__o"), *numbers_of), "__o").df
     before = Window.partitionBy(PART).orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)
     local = ranges.select(PART, *[x for i in range(len(names)) for x in (F.col(f"n{i}"), F.last(f"n{i}", ignorenulls=True).over(before).alias(f"p{i}"))])
@@ -96,8 +113,18 @@ def monotonic(df: DataFrame, ordinal: str, value: str = "value") -> bool:
 
 
 def differences(df: DataFrame, ordinal: str, value: str = "value") -> TotalOrder:
-    """(ordinal, n, d, dd): values, first and second differences; null where there is none."""
-    numbered = df.select(F.col(ordinal).alias("ordinal"), F.col(value).cast("long").alias("n")).where("n IS NOT NULL")
+    """(ordinal, n, d, dd): values, first and second differences; null where there is none.
+
+    Integers are long where all have at most 18 digits, else decimal(38,0); more
+    than MAX_DIGITS digits are an error.
+    """
+    kind = "long"
+    if not isinstance(df.schema[value].dataType, T.IntegralType):
+        most = df.agg(F.coalesce(F.max(digits(F.col(value).cast("string"))), F.lit(0))).first()[0]
+        if most > MAX_DIGITS:
+            raise ValueError(f"{value} has integers of over {MAX_DIGITS} digits")
+        kind = "long" if most <= 18 else "decimal(38,0)"
+    numbered = df.select(F.col(ordinal).alias("ordinal"), non_null(F.col(value).cast("string")).cast(kind).alias("n")).where("n IS NOT NULL")
     first = TotalOrder(numbered, "ordinal").lag("n", "before")
     second = first.with_column("d", F.col("n") - F.col("before")).lag("d", "d_before")
     return second.with_column("dd", F.col("d") - F.col("d_before"))
@@ -191,16 +218,22 @@ def rle_encode(df: DataFrame, ordinal: str, value: str) -> DataFrame:
 def rle_decode(runs: DataFrame) -> DataFrame:
     """(i, value): the values by position among the non-null ones."""
     placed = TotalOrder(runs.select("run", "value", "length"), "run").running_sum("length", "begin", inclusive=False).rows()
-    at = F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("length") - 1))
-    return placed.where("length > 0").select("value", at.alias("i")).select("i", "value")
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(PIECE).cast("long")))
+    pieces = placed.where("length > 0").select("value", "begin", "length", piece.alias("low"))
+    at = F.explode(F.sequence(F.col("begin") + F.col("low"), F.col("begin") + F.least(F.col("low") + PIECE, F.col("length")) - 1))
+    return pieces.select("value", at.alias("i")).select("i", "value")
 
 
 def rle_encode_by(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Runs within groups: (keys, run, value, length)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    changed = df.select(*keys, *[c for c in order if c not in keys], value, F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1).alias("changed"))
-    runs = changed.withColumn("run", F.sum("changed").over(w) - 1)
-    return runs.groupBy(*keys, "run").agg(F.first(value).alias("value"), F.count(F.lit(1)).alias("length"))
+    """Runs within groups: (keys, run, value, length). All groups lie in one total order, so that a large one is many ranges."""
+    names = list(dict.fromkeys([*keys, *order, value]))
+    own = F.struct(*keys, F.col(value).alias("__value"))
+    marked = TotalOrder(df.select(*names), *dict.fromkeys([*keys, *order])).lag(own, "before")
+    runs = marked.with_column("changed", F.when(F.col("before").eqNullSafe(own), 0).otherwise(1).cast("long")).running_sum("changed", "run").rows()
+    summed = runs.groupBy(*keys, "run").agg(F.first(value).alias("value"), F.count(F.lit(1)).alias("length"))
+    first = runs.groupBy(*keys).agg(F.min("run").alias("first_run")).select(*[F.col(k).alias(f"__{k}") for k in keys], "first_run")
+    joined = summed.join(first, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]))
+    return joined.select(*keys, (F.col("run") - F.col("first_run")).alias("run"), "value", "length")
 
 
 # --- whole columns -----------------------------------------------------------

@@ -23,6 +23,12 @@ def _where(df: DataFrame, broken: Column, rule: str, subject: str, problem: str)
     return df.where(F.coalesce(broken, F.lit(True))).select(F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"), F.lit(problem).alias("problem"))
 
 
+def _checked(df: DataFrame, subject: str, *checks: tuple[str, Column, str]) -> DataFrame:
+    """All checks (rule, broken, problem) in one pass over a table; what cannot be told is broken."""
+    found = [F.when(F.coalesce(broken, F.lit(True)), F.struct(F.lit(rule).alias("rule"), F.lit(problem).alias("problem"))) for rule, broken, problem in checks]
+    return df.select(F.col(subject).cast("string").alias("subject"), F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.rule", "subject", "x.problem")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -31,12 +37,16 @@ def repeated(df: DataFrame, key: str, rule: str, problem: str) -> DataFrame:
     return _where(df.groupBy(key).count(), F.col("count") > 1, rule, key, problem)
 
 
-def limits(d, max_files: int = 1_000_000, max_chunks: int = 10_000_000, max_extract_size: int = 1 << 50) -> DataFrame:
-    """Totals."""
-    counts = [("files and folders", d.files.select("path").unionByName(d.directories.select("path")), max_files), ("excluded paths", d.excluded, max_files), ("chunks", d.chunks.select("chunk_id"), max_chunks), ("dictionaries", d.dictionaries.select("dictionary_id"), max_chunks), ("references", d.file_chunks.select("path"), max_chunks)]
-    parts = [_where(t.agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit(name)), F.col("n") > most, "V2", "what", f"more than {most}") for name, t, most in counts]
-    total = d.files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).withColumn("what", F.lit("extracted bytes"))
-    return _union([*parts, _where(total, F.col("n") > max_extract_size, "V21", "what", f"more than {max_extract_size}")])
+def limits(d, max_files: int | None = None, max_chunks: int | None = None, max_extract_size: int | None = None) -> DataFrame:
+    """Totals, where a bound is given."""
+    one = F.lit(1).cast("long")
+    counted = [("files and folders", d.files.select("path").unionByName(d.directories.select("path")), max_files), ("excluded paths", d.excluded, max_files), ("chunks", d.chunks.select("chunk_id"), max_chunks), ("dictionaries", d.dictionaries.select("dictionary_id"), max_chunks), ("references", d.file_chunks.select("path"), max_chunks)]
+    parts = [t.agg(F.coalesce(F.sum(one), F.lit(0).cast("long")).alias("n")).select(F.lit("V2").alias("rule"), F.lit(name).alias("subject"), F.lit(most).cast("long").alias("most"), "n") for name, t, most in counted if most is not None]
+    if max_extract_size is not None:
+        parts.append(d.files.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("n")).select(F.lit("V21").alias("rule"), F.lit("extracted bytes").alias("subject"), F.lit(max_extract_size).cast("long").alias("most"), "n"))
+    if not parts:
+        return d.manifest.limit(0).select(F.lit("").alias("rule"), F.lit("").alias("subject"), F.lit("").alias("problem"))
+    return _union(parts).where("n > most").select("rule", "subject", F.concat(F.lit("more than "), F.col("most").cast("string")).alias("problem"))
 
 
 def settings(d) -> DataFrame:
@@ -46,48 +56,59 @@ def settings(d) -> DataFrame:
     m = d.manifest.withColumn("what", F.lit("manifest"))
     rows = _where(d.manifest.agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("manifest")), F.col("n") != 1, "V1", "what", "not one row")
     version = (F.col("format_major") != store.FORMAT[0]) | (F.col("format_minor") != store.FORMAT[1]) | (F.col("schema_major") != store.SCHEMA[0]) | (F.col("schema_minor") != store.SCHEMA[1])
-    return _union([
-        rows,
-        _where(m, version, "V3", "what", "an unsupported version"),
-        _where(m, ~F.col("chunk_size").between(chunking.MIN_CHUNK, chunking.MAX_CHUNK), "V3", "what", "the chunk size is out of range"),
-        _where(m, ~F.col("profile").isin(*store.PROFILES) | ~F.col("goal").isin(*codecs.GOALS), "V4", "what", "an unknown profile or goal"),
-        _where(m, F.col("engine_version").isNull() | F.col("codec_versions").isNull() | F.col("store_permissions").isNull(), "V4", "what", "settings are missing"),
-    ])
+    own = _checked(
+        m, "what",
+        ("V3", version, "an unsupported version"),
+        ("V3", ~F.col("chunk_size").between(chunking.MIN_CHUNK, chunking.MAX_CHUNK), "the chunk size is out of range"),
+        ("V4", ~F.col("profile").isin(*store.PROFILES) | ~F.col("goal").isin(*codecs.GOALS), "an unknown profile or goal"),
+        ("V4", F.col("engine_version").isNull() | F.col("codec_versions").isNull() | F.col("store_permissions").isNull(), "settings are missing"),
+    )
+    return rows.unionByName(own)
 
 
 def dictionaries(d) -> DataFrame:
     """The catalog, and who refers to it."""
     t = d.dictionaries
     size = F.octet_length("data")
+    listed = t.select("dictionary_id").distinct().withColumn("listed", F.lit(True))
     used = d.chunks.select("dictionary_id", "codec").where("dictionary_id IS NOT NULL")
-    ids = t.select("dictionary_id")
-    profile = d.manifest.select("profile")
+    ids = used.select("dictionary_id").distinct().withColumn("used", F.lit(True))
     sources = d.source_dictionaries
-    unlisted = used.select("dictionary_id").distinct().join(sources, "dictionary_id", "left_anti").join(profile.where("profile = 'source'"), F.lit(True))
+    profile = d.manifest.select("profile")
+    unlisted = ids.join(sources, "dictionary_id", "left_anti").join(profile.where("profile = 'source'"), F.lit(True))
     return _union([
-        _where(t, ~F.col("dictionary_id").rlike(HASH) | (F.sha2("data", 256) != F.col("dictionary_id")), "V5", "dictionary_id", "the id is not the data's hash"),
-        _where(t, ~size.between(1, MAX_DICTIONARY) | (size != F.col("size")), "V5", "dictionary_id", "the size is out of range or wrong"),
+        _checked(
+            t.join(ids, "dictionary_id", "left"), "dictionary_id",
+            ("V5", ~F.col("dictionary_id").rlike(HASH) | (F.sha2("data", 256) != F.col("dictionary_id")), "the id is not the data's hash"),
+            ("V5", ~size.between(1, MAX_DICTIONARY) | (size != F.col("size")), "the size is out of range or wrong"),
+            ("V10", F.col("used").isNull(), "no chunk uses it"),
+        ),
         repeated(t, "dictionary_id", "V5", "a repeated dictionary"),
-        _where(sources.join(ids, "dictionary_id", "left_anti"), F.lit(True), "V6", "category", "no such dictionary"),
-        _where(used, F.col("codec") != "zstd", "V8", "dictionary_id", "a dictionary on a codec that knows none"),
-        _where(used.join(ids, "dictionary_id", "left_anti"), F.lit(True), "V8", "dictionary_id", "no such dictionary"),
-        _where(ids.join(used, "dictionary_id", "left_anti"), F.lit(True), "V10", "dictionary_id", "no chunk uses it"),
+        _checked(
+            used.join(listed, "dictionary_id", "left"), "dictionary_id",
+            ("V8", F.col("codec") != "zstd", "a dictionary on a codec that knows none"), ("V8", F.col("listed").isNull(), "no such dictionary"),
+        ),
         _where(unlisted, F.lit(True), "V10", "dictionary_id", "no category names it"),
-        _where(sources.join(profile.where("profile <> 'source'"), F.lit(True)), F.lit(True), "V10", "category", "source dictionaries under another profile"),
+        _checked(
+            sources.join(listed, "dictionary_id", "left").join(profile, F.lit(True)), "category",
+            ("V6", F.col("listed").isNull(), "no such dictionary"), ("V10", F.col("profile") != "source", "source dictionaries under another profile"),
+        ),
     ])
 
 
 def chunks(d) -> DataFrame:
     """Ids, codecs and sizes. Parquet replaces offsets; spans are checked where a table has them."""
     t = d.chunks.drop("payload").join(d.manifest.select("chunk_size"), F.lit(True))
-    levels = F.col("level").isNotNull() & (F.col("codec") == "store")
     parts = [
-        _where(t, ~F.col("chunk_id").rlike(HASH), "V7", "chunk_id", "not a hash"),
-        _where(t, ~F.col("codec").isin(*codecs.CODECS), "V7", "chunk_id", "an unknown codec"),
-        _where(t, ~F.col("raw_size").between(1, F.col("chunk_size")) | (F.col("packed_size") <= 0), "V7", "chunk_id", "a size is out of range"),
-        _where(t, levels, "V7", "chunk_id", "a stored chunk has a level"),
+        _checked(
+            t, "chunk_id",
+            ("V7", ~F.col("chunk_id").rlike(HASH), "not a hash"),
+            ("V7", ~F.col("codec").isin(*codecs.CODECS), "an unknown codec"),
+            ("V7", ~F.col("raw_size").between(1, F.col("chunk_size")) | (F.col("packed_size") <= 0), "a size is out of range"),
+            ("V7", F.col("level").isNotNull() & (F.col("codec") == "store"), "a stored chunk has a level"),
+        ),
         repeated(t, "chunk_id", "V7", "a repeated chunk"),
-    ]
+    ]
     if "offset" in t.columns:
         parts.append(chunking.span_violations(t).select(F.lit("V11").alias("rule"), F.col("chunk_id").alias("subject"), "problem"))
     return _union(parts)
@@ -101,48 +122,58 @@ def files(d) -> DataFrame:
     same = (F.col("size") == F.col("encoded_size")) & (F.col("size") == F.col("source_size")) & (F.col("hash") == F.col("encoded_hash"))
     lists = F.greatest(F.coalesce(F.size("transform.applied"), F.lit(0)), F.coalesce(F.size("transform.detected"), F.lit(0)))
     known = ((F.col("transform.id") == "none") & exact) | ((F.col("transform.id") != "none") & F.col("transform.mode").isin("exact", "canonical") & (F.col("profile") == "telemetry"))
-    return _union([
-        _where(t, normal.isNull() | (normal != F.col("path")), "V12", "path", "not a normal path"),
-        repeated(t, "path", "V12", "a repeated path"),
-        _where(t, (F.least("source_size", "size", "encoded_size") < 0) | ~F.col("hash").rlike(HASH) | ~F.col("encoded_hash").rlike(HASH), "V13", "path", "a negative size or malformed hash"),
-        _where(t, ~known | (lists > MAX_LIST), "V16", "path", "an unknown transform"),
-        _where(t, (F.col("transform.mode") == "canonical") & (F.greatest("size", "encoded_size", "source_size") > MAX_TRANSFORM), "V16", "path", "too large for a transform"),
-        _where(t, exact & ~same, "V17", "path", "an exact file whose sizes or hashes differ"),
-        _where(t, F.col("mode").isNotNull() & (~F.col("store_permissions") | ~F.col("mode").between(0, 0o777)), "V20", "path", "a mode that should not be"),
-    ])
+    own = _checked(
+        t, "path",
+        ("V12", normal.isNull() | (normal != F.col("path")), "not a normal path"),
+        ("V13", (F.least("source_size", "size", "encoded_size") < 0) | ~F.col("hash").rlike(HASH) | ~F.col("encoded_hash").rlike(HASH), "a negative size or malformed hash"),
+        ("V16", ~known | (lists > MAX_LIST), "an unknown transform"),
+        ("V16", (F.col("transform.mode") == "canonical") & (F.greatest("size", "encoded_size", "source_size") > MAX_TRANSFORM), "too large for a transform"),
+        ("V17", exact & ~same, "an exact file whose sizes or hashes differ"),
+        ("V20", F.col("mode").isNotNull() & (~F.col("store_permissions") | ~F.col("mode").between(0, 0o777)), "a mode that should not be"),
+    )
+    return own.unionByName(repeated(t, "path", "V12", "a repeated path"))
 
 
 def decisions(d) -> DataFrame:
     """Candidates, and how each reference was stored."""
     c = d.candidates
-    per_file = d.files.select("path").join(c.groupBy("path").count(), "path", "left")
+    per_file = d.files.select("path", "preferred_codec", "reason").join(c.groupBy("path").count(), "path", "left")
     refs = d.file_chunks
-    actual = d.chunks.select("chunk_id", "codec", F.col("level").alias("own_level"), F.col("dictionary_id").alias("own_dictionary"))
-    told = refs.join(actual, "chunk_id")
-    differs = (F.col("actual_codec") != F.col("codec")) | ~F.col("actual_level").eqNullSafe(F.col("own_level")) | ~F.col("dictionary_id").eqNullSafe(F.col("own_dictionary"))
+    actual = d.chunks.select("chunk_id", "codec", F.col("level").alias("own_level"), F.col("dictionary_id").alias("own_dictionary"), F.lit(True).alias("known"))
     first = refs.groupBy("chunk_id").agg(F.min(F.struct("path", "ordinal")).alias("first"))
-    flags = refs.join(first, "chunk_id")
+    told = refs.join(first, "chunk_id").join(actual, "chunk_id", "left")
+    differs = (F.col("actual_codec") != F.col("codec")) | ~F.col("actual_level").eqNullSafe(F.col("own_level")) | ~F.col("dictionary_id").eqNullSafe(F.col("own_dictionary"))
     is_first = (F.col("path") == F.col("first.path")) & (F.col("ordinal") == F.col("first.ordinal"))
     return _union([
-        _where(per_file, ~F.coalesce("count", F.lit(0)).between(1, MAX_CANDIDATES), "V18", "path", "no candidates, or too many"),
+        _checked(
+            per_file, "path",
+            ("V18", ~F.coalesce("count", F.lit(0)).between(1, MAX_CANDIDATES), "no candidates, or too many"),
+            ("V18", F.col("preferred_codec").isNull() | ~F.col("preferred_codec").isin(*codecs.CODECS) | F.col("reason").isNull(), "a decision is malformed"),
+        ),
         _where(c, ~F.col("codec").isin(*codecs.CODECS) | ~F.col("sample_bytes").between(0, codecs.SAMPLE_BYTES) | (F.col("packed_bytes") < 0) | (F.col("score") < 0), "V18", "path", "a candidate is malformed"),
-        _where(d.files, F.col("preferred_codec").isNull() | ~F.col("preferred_codec").isin(*codecs.CODECS) | F.col("reason").isNull(), "V18", "path", "a decision is malformed"),
-        _where(told, differs, "V19", "path", "a reference differs from its chunk"),
-        _where(flags, F.col("reused") == is_first, "V19", "path", "a reuse flag is wrong"),
-        _where(refs, F.col("reason").isNull(), "V19", "path", "a reason is missing"),
+        _checked(
+            told, "path",
+            ("V19", F.col("known").isNotNull() & F.coalesce(differs, F.lit(True)), "a reference differs from its chunk"),
+            ("V19", F.col("reused") == is_first, "a reuse flag is wrong"),
+            ("V19", F.col("reason").isNull(), "a reason is missing"),
+        ),
     ])
 
 
 def references(d) -> DataFrame:
     """References and chunks cover each other, and sizes add up."""
     refs, ids = d.file_chunks, d.chunks.select("chunk_id", "raw_size")
+    owned = refs.select("path", "ordinal", "chunk_id").join(d.files.select("path", F.lit(True).alias("owned")).distinct(), "path", "left")
+    met = owned.join(ids.select("chunk_id", F.lit(True).alias("known")).distinct(), "chunk_id", "left")
     sums = refs.join(ids, "chunk_id").groupBy("path").agg(F.sum("raw_size").alias("sum"), F.count(F.lit(1)).alias("n"), F.max("ordinal").alias("last"), F.count_distinct("ordinal").alias("places"))
     sized = d.files.select("path", "encoded_size").join(sums, "path", "left")
     return _union([
-        _where(refs.join(ids, "chunk_id", "left_anti"), F.lit(True), "V14", "path", "refers to an unknown chunk"),
-        _where(refs.join(d.files.select("path"), "path", "left_anti"), F.lit(True), "V14", "path", "references of no file"),
-        _where(sized, F.coalesce("sum", F.lit(0)) != F.col("encoded_size"), "V15", "path", "chunk sizes do not add up to the file's"),
-        _where(sized.where("n IS NOT NULL"), (F.col("last") + 1 != F.col("n")) | (F.col("places") != F.col("n")), "V14", "path", "ordinals have gaps or repeat"),
+        _checked(met, "path", ("V14", F.col("known").isNull(), "refers to an unknown chunk"), ("V14", F.col("owned").isNull(), "references of no file")),
+        _checked(
+            sized, "path",
+            ("V15", F.coalesce("sum", F.lit(0)) != F.col("encoded_size"), "chunk sizes do not add up to the file's"),
+            ("V14", F.col("n").isNotNull() & ((F.col("last") + 1 != F.col("n")) | (F.col("places") != F.col("n"))), "ordinals have gaps or repeat"),
+        ),
         _where(ids.join(refs, "chunk_id", "left_anti"), F.lit(True), "V22", "chunk_id", "no file refers to it"),
     ])
 
@@ -161,8 +192,8 @@ def namespace(d) -> DataFrame:
     ])
 
 
-def violations(d, **most: int) -> DataFrame:
-    """All rules on metadata."""
+def violations(d, **most: int | None) -> DataFrame:
+    """All rules on metadata; bounds on totals where they are given."""
     return _union([limits(d, **most), settings(d), dictionaries(d), chunks(d), files(d), decisions(d), references(d), namespace(d)])
 
 

@@ -1,58 +1,73 @@
 """How well codecs, and whole datasets, pack some input: sizes, ratios, throughput.
 
-Raw payloads are packed file by file on the executors; a tar is made of all files
-for comparison, on one executor, so it is for inputs that fit there.
+Payloads are packed file by file where they lie. A task measures its own CPU time
+and memory, so figures are those of the executors' work, whatever their number; a
+tar is made of all files for comparison, by one task, so it is for inputs that fit
+one.
 """
 
 from __future__ import annotations
 
 import io
+import resource
 import statistics
 import tarfile
 import time
-import tracemalloc
-import zlib
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import codecs
+from quern.operators import chunking, codecs
 from quern.plans import store
 
 SWEEP = (("store", None), ("zlib", 6), ("zstd", 1), ("zstd", 3), ("zstd", 9))
 
 
-def sweep(files: DataFrame, settings: tuple[tuple[str, int | None], ...] = SWEEP) -> DataFrame:
-    """(name, original_size, packed_size, ratio) of every codec over all contents; all settings in one pass."""
+_SWEPT = "name string, original long, packed long, encode double, decode double, peak long"
+
+
+def _trial(raw: bytes, codec: str, level: int | None, repeats: int) -> tuple[int, float, float]:
+    """(packed size, median CPU seconds to pack, and to unpack)."""
+    packing, unpacking = [], []
+    for _ in range(repeats):
+        times = [time.thread_time()]
+        data = codecs.pack_bytes(codec, raw, level)
+        times.append(time.thread_time())
+        codecs.unpack_bytes(codec, data, len(raw))
+        times.append(time.thread_time())
+        packing.append(times[1] - times[0])
+        unpacking.append(times[2] - times[1])
+    return len(data), statistics.median(packing), statistics.median(unpacking)
+
+
+def _named(codec: str, level: int | None) -> str:
+    return codec if level is None else f"{codec}-{level}"
+
+
+def sweep(files: DataFrame, settings: tuple[tuple[str, int | None], ...] = SWEEP, repeats: int = 1) -> DataFrame:
+    """(name, original_size, packed_size, ratio, encode_s, decode_s, peak_bytes) of every codec over all contents, in one pass.
+
+    Seconds are CPU time of all tasks together; the peak is that of the largest Python worker.
+    """
 
     def run(batches):
+        sums = {_named(*s): [0, 0, 0.0, 0.0] for s in settings}
         for batch in batches:
             for raw in batch["content"].to_pylist():
                 raw = raw or b""
-                packed = [codecs.pack_bytes(c, raw, n) for c, n in settings]
-                for (c, _), data in zip(settings, packed, strict=True):
-                    codecs.unpack_bytes(c, data, len(raw))
-                yield pa.RecordBatch.from_pydict({"name": [c if n is None else f"{c}-{n}" for c, n in settings], "original": pa.array([len(raw)] * len(settings), pa.int64()), "packed": pa.array([len(p) for p in packed], pa.int64())})
-
-    rows = files.select("content").mapInArrow(run, "name string, original long, packed long")
-    sums = rows.groupBy("name").agg(F.sum("original").alias("original_size"), F.sum("packed").alias("packed_size"))
-    return sums.withColumn("ratio", F.when(F.col("original_size") > 0, F.col("packed_size") / F.col("original_size")).otherwise(F.lit(0.0)))
-
-
-def measured(action: Callable[[], object], repeats: int = 3) -> dict[str, float]:
-    """Median seconds after one warm-up, and the peak of Python's memory."""
-    action()
-    times, peak = [], 0
-    for _ in range(max(1, repeats)):
-        tracemalloc.start()
-        begin = time.perf_counter()
-        action()
-        times.append(time.perf_counter() - begin)
-        peak = max(peak, tracemalloc.get_traced_memory()[1])
-        tracemalloc.stop()
-    return {"seconds": statistics.median(times), "peak_bytes": peak}
+                for codec, level in settings:
+                    size, encode, decode = _trial(raw, codec, level, repeats)
+                    own = sums[_named(codec, level)]
+                    own[:] = own[0] + len(raw), own[1] + size, own[2] + encode, own[3] + decode
+        peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+        original, packed, encode, decode = zip(*sums.values(), strict=True)
+        yield pa.RecordBatch.from_pydict({"name": list(sums), "original": pa.array(original, pa.int64()), "packed": pa.array(packed, pa.int64()), "encode": pa.array(encode, pa.float64()), "decode": pa.array(decode, pa.float64()), "peak": pa.array([peak] * len(sums), pa.int64())})
+
+    rows = files.select("content").mapInArrow(run, _SWEPT)
+    sums = rows.groupBy("name").agg(F.sum("original").alias("original_size"), F.sum("packed").alias("packed_size"), F.sum("encode").alias("encode_s"), F.sum("decode").alias("decode_s"), F.max("peak").alias("peak_bytes"))
+    ratio = F.when(F.col("original_size") > 0, F.col("packed_size") / F.col("original_size")).otherwise(F.lit(0.0))
+    return sums.select("name", "original_size", "packed_size", ratio.alias("ratio"), "encode_s", "decode_s", "peak_bytes")
 
 
 def tar_bytes(entries: list[tuple[str, bytes]]) -> bytes:
@@ -66,39 +81,41 @@ def tar_bytes(entries: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
-def tar_total(data: bytes) -> int:
-    """The bytes of all members."""
-    with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-        return sum(len(f.read()) for m in tar if (f := tar.extractfile(m)))
-
-
-def benchmark(files: DataFrame, profile: str = "general", repeats: int = 3) -> list[dict[str, object]]:
-    """Rows of scope (raw-payload, tar-container, full-dataset), name, sizes, ratio, seconds and MiB/s; input that fits the driver."""
-    entries = [(r["path"], bytes(r["content"])) for r in files.select("path", "content").toLocalIterator()]
-    tar, total = tar_bytes(entries), sum(len(d) for _, d in entries)
-    payload = b"".join(d for _, d in entries)
-    rows = []
+def tar_of(files: DataFrame) -> DataFrame:
+    """(content) of one tar of all files, made by one task."""
 
-    def row(scope: str, name: str, original: int, packed: int, encode: dict, decode: dict) -> None:
-        speed = lambda s: original / 2**20 / s if s else 0.0
-        rows.append({"scope": scope, "name": name, "original_size": original, "packed_size": packed, "ratio": packed / original if original else 0.0, "encode_s": encode["seconds"], "decode_s": decode["seconds"], "encode_mib_s": speed(encode["seconds"]), "decode_mib_s": speed(decode["seconds"]), "peak_bytes": max(encode["peak_bytes"], decode["peak_bytes"])})
+    def run(batches):
+        entries = [(p, c or b"") for b in batches for p, c in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_pydict({"content": pa.array([tar_bytes(entries)], pa.binary())})
 
-    for scope, data in (("raw-payload", payload), ("tar-container", tar)):
-        for codec, level in SWEEP if scope == "raw-payload" else SWEEP[1:]:
-            packed = codecs.pack_bytes(codec, data, level)
+    return files.select("path", "content").coalesce(1).mapInArrow(run, "content binary")
 
-            def decode(codec=codec, packed=packed, data=data, scope=scope):
-                back = codecs.unpack_bytes(codec, packed, len(data))
-                return tar_total(back) if scope == "tar-container" else zlib.crc32(back)
 
-            row(scope, codec if level is None else f"{codec}-{level}", total, len(packed), measured(lambda c=codec, d=data, n=level: codecs.pack_bytes(c, d, n), repeats), measured(decode, repeats))
+def benchmark(files: DataFrame, profile: str = "general", repeats: int = 3) -> list[dict[str, object]]:
+    """Rows of scope (raw-payload, tar-container, full-dataset), name, sizes, overhead, ratio, seconds, MiB/s and peak.
+
+    The first two scopes report CPU seconds of the tasks, the last one wall-clock seconds of whole jobs.
+    """
+    repeats = max(1, repeats)
+    raw = sweep(files, repeats=repeats).orderBy("name").collect()
+    total = max((r["original_size"] or 0 for r in raw), default=0)
+    tar = sweep(tar_of(files), SWEEP[1:], repeats).orderBy("name").collect()
     options = store.Options(profile=profile)
+    begin = time.monotonic()
     dataset = store.pack(files, options)
-    packed = dataset.chunks.agg(F.coalesce(F.sum("packed_size"), F.lit(0))).first()[0]
-    row("full-dataset", profile, total, packed, measured(lambda: store.pack(files, options).chunks.count(), 1), measured(lambda: store.extract(dataset).agg(F.sum(F.octet_length("content"))).first(), 1))
-    return rows
+    dataset.file_chunks.count()
+    packed_at = time.monotonic()
+    store.extract(dataset).agg(F.sum(F.octet_length("content"))).first()
+    jobs = {"name": profile, "encode_s": packed_at - begin, "decode_s": time.monotonic() - packed_at, "peak_bytes": None}
+    size = chunking.inspect(dataset.files, dataset.file_chunks, dataset.chunks.select("packed_size")).first()
+    out = []
+    for scope, r, packed, overhead in [*(("raw-payload", r, r["packed_size"], 0) for r in raw), *(("tar-container", r, r["packed_size"], r["original_size"] - total) for r in tar), ("full-dataset", jobs, size["payload_size"] + size["container_overhead"], size["container_overhead"])]:
+        speed = {f"{k}_mib_s": total / 2**20 / r[f"{k}_s"] if r[f"{k}_s"] else 0.0 for k in ("encode", "decode")}
+        out.append({"scope": scope, "name": r["name"], "original_size": total, "packed_size": packed, "overhead": overhead, "ratio": packed / total if total else 0.0, "encode_s": r["encode_s"], "decode_s": r["decode_s"], **speed, "peak_bytes": r["peak_bytes"]})
+    return out
 
 
 def markdown(rows: list[dict[str, object]]) -> str:
-    head = "| scope | name | original | packed | ratio | encode s | decode s |\n|---|---|---:|---:|---:|---:|---:|"
-    return "\n".join([head, *(f"| {r['scope']} | {r['name']} | {r['original_size']:,} | {r['packed_size']:,} | {r['ratio']:.3f} | {r['encode_s']:.4f} | {r['decode_s']:.4f} |" for r in rows)])
+    head = "| scope | name | original | packed | overhead | ratio | encode s | decode s | peak MiB |\n|---|---|---:|---:|---:|---:|---:|---:|---:|"
+    peak = lambda r: "" if r["peak_bytes"] is None else f"{r['peak_bytes'] / 2**20:.0f}"
+    return "\n".join([head, *(f"| {r['scope']} | {r['name']} | {r['original_size']:,} | {r['packed_size']:,} | {r['overhead']:,} | {r['ratio']:.3f} | {r['encode_s']:.4f} | {r['decode_s']:.4f} | {peak(r)} |" for r in rows)])

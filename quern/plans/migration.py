@@ -24,7 +24,7 @@ GOALS = {
     "low-memory": "avoid-zlib",
 }
 LEGACY = (1, 0)
-KEPT = "preserved the representation stored before migration"
+KEPT = "packed before the migration, and left as it was"
 
 
 class MigrationError(ValueError):
@@ -37,13 +37,20 @@ def migrated_goal(goal: Column) -> Column:
 
 
 def compatibility(spark: SparkSession, path: str) -> dict[str, object]:
-    """What a folder holds, and whether it can be read or migrated, from its manifest alone."""
+    """What a folder holds, and whether it can be read or migrated: from its manifest, and its seal where it has one."""
     try:
         row = spark.read.parquet(f"{path}/manifest").select("format_major", "format_minor").first()
     except Exception as e:  # not a dataset at all
         return {"format": None, "status": "unreadable", "readable": False, "migratable": False, "detail": str(e).splitlines()[0][:200]}
     version = (row["format_major"], row["format_minor"]) if row else None
     status = {store.FORMAT: "current", LEGACY: "legacy"}.get(version, "unsupported")
+    if status == "current":
+        try:
+            sealed = store.seal_status(store.open_dataset(spark, path))
+        except Exception as e:  # a table is missing or is none
+            return {"format": f"{version[0]}.{version[1]}", "status": "damaged", "readable": False, "migratable": False, "detail": str(e).splitlines()[0][:200]}
+        if sealed == "broken":
+            return {"format": f"{version[0]}.{version[1]}", "status": "damaged", "readable": False, "migratable": False, "detail": "the tables are not those that were sealed"}
     return {"format": version and f"{version[0]}.{version[1]}", "status": status, "readable": status == "current", "migratable": status == "legacy", "detail": ""}
 
 

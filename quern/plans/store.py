@@ -9,7 +9,7 @@ A dataset is a folder of Parquet tables:
     candidates   path, codec, level, sample_bytes, packed_bytes, score
     dictionaries dictionary_id, size, data            source_dictionaries  category, dictionary_id
     directories  path                                 excluded             path
-    manifest     one row of settings and versions
+    manifest     one row of settings and versions     seal  name, rows, digest of each table
 
 Reports read the small tables; the payload column is read only where bytes are
 wanted, and only of the chunks that the chosen paths refer to. Tables are written
@@ -33,9 +33,10 @@ from quern.operators import chunking, codecs
 from quern.sources.staging import written
 
 PROFILES = ("general", "source", "telemetry")
+SEAL = "seal"
 TABLES = ("files", "file_chunks", "chunks", "candidates", "dictionaries", "source_dictionaries", "directories", "excluded", "manifest")
 FORMAT, SCHEMA, ENGINE = (1, 1), (2, 0), "0.1.0"
-REUSED, STORED = "reused an existing content-addressed representation", "stored using this file's preferred policy"
+REUSED, STORED = "the chunk was stored before", "the chunk is new, and packed as its file prefers"
 
 
 @dataclass(frozen=True)
@@ -63,8 +64,8 @@ class Options:
 class Dataset:
     """The tables of a dataset, as attributes."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
-        self.spark, self.tables = spark, tables
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], path: str | None = None):
+        self.spark, self.tables, self.path = spark, tables, path
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -85,6 +86,7 @@ class Dataset:
         try:
             for name in TABLES:
                 self.tables[name].write.parquet(f"{staging}/{name}")
+            seal_of(open_dataset(self.spark, staging)).write.parquet(f"{staging}/{SEAL}")
             if fs.exists(target):
                 fs.delete(target, True)
             if not fs.rename(temporary, target):
@@ -100,7 +102,7 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 def open_dataset(spark: SparkSession, path: str) -> Dataset:
-    return Dataset(spark, {name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
+    return Dataset(spark, {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}, path)
 
 
 _TRANSFORM = T.StructType([T.StructField("id", T.StringType()), T.StructField("mode", T.StringType()), T.StructField("applied", T.ArrayType(T.StringType())), T.StructField("detected", T.ArrayType(T.StringType()))])
@@ -129,7 +131,7 @@ def _transformed(files: DataFrame, options: Options) -> DataFrame:
             if mode == "canonical":
                 back = table_text.decode_table(document)
             else:
-                document, applied = data, ["exact byte preservation"]
+                document, applied = data, ["kept byte for byte"]
             out.append({"content": document, "size": len(back), "hash": hashlib.sha256(back).hexdigest(), "transform": {"id": TABLE_TRANSFORM, "mode": mode, "applied": applied, "detected": detected}})
         return pa.array(out, _ARROW_TRANSFORMED)
 
@@ -147,7 +149,7 @@ def pack(files: DataFrame, options: Options = Options(), directories: DataFrame
     measured = written(codecs.candidates(stored, options.goal, options.codec, options.level), "candidates")
     chosen = codecs.choose(measured, forced=options.codec is not None).select("path", F.col("codec").alias("preferred_codec"), "level", "sample_bytes")
     trained = written(codecs.train_dictionaries(codecs.dictionary_samples(stored)), "dictionaries") if options.profile == "source" else spark.createDataFrame([], "category string, dictionary_id string, size long, data binary")
-    reason = F.concat(F.lit(f"best {options.goal} score on a bounded "), F.col("sample_bytes").cast("string"), F.lit("-byte sample"))
+    reason = F.concat(F.lit(f"least {options.goal} score of the first "), F.col("sample_bytes").cast("string"), F.lit(" bytes"))
     category = paths.category(F.col("path")) if options.profile == "source" else F.lit(None).cast("string")
     mode = F.col("mode").bitwiseAND(F.lit(0o777)) if options.store_permissions else F.lit(None).cast("int")
     records = written(
@@ -169,7 +171,9 @@ def pack(files: DataFrame, options: Options = Options(), directories: DataFrame
         .select("chunk_id", "codec", "level", "dictionary_id", "raw_size", F.octet_length("payload").cast("long").alias("packed_size"), "payload"), "chunks",
     )
     actual = chunks.select("chunk_id", F.col("codec").alias("actual_codec"), F.col("level").alias("actual_level"), "dictionary_id")
-    file_chunks = chunking.mark_reuse(refs).join(actual, "chunk_id").select("path", "ordinal", "chunk_id", "actual_codec", "actual_level", "dictionary_id", F.when(F.col("reused"), REUSED).otherwise(STORED).alias("reason"), "reused")
+    file_chunks = written(
+        chunking.mark_reuse(refs).join(actual, "chunk_id").select("path", "ordinal", "chunk_id", "actual_codec", "actual_level", "dictionary_id", F.when(F.col("reused"), REUSED).otherwise(STORED).alias("reason"), "reused"), "file-chunks"
+    )
     used = chunks.select("dictionary_id").where("dictionary_id IS NOT NULL").distinct()
     catalog = trained.join(used, "dictionary_id", "left_semi")
     none = spark.createDataFrame([], "path string")
@@ -221,11 +225,17 @@ def extract(dataset: Dataset, selected: Sequence[str] = ()) -> DataFrame:
     return plain.unionByName(tables).select("path", F.when(F.sha2("content", 256) == F.col("hash"), F.col("content")).otherwise(wrong).alias("content"), "mode")
 
 
-def write_tree(extracted: DataFrame, output: str, directories: DataFrame | None = None, overwrite: bool = False, restore_permissions: bool = False) -> DataFrame:
-    """Writes files below a folder that the executors share; each appears whole or not at all. (path, size) of what was written."""
+def write_tree(extracted: DataFrame, output: str, directories: DataFrame | None = None, overwrite: bool = False, restore_permissions: bool = False, needed: int = 0) -> DataFrame:
+    """Writes files below a folder that the executors share; each appears whole or not at all. (path, size) of what was written.
+
+    Nothing is written if the folder's disk has less than `needed` bytes left.
+    """
     import os
+    import shutil
 
     os.makedirs(output, exist_ok=True)
+    if (free := shutil.disk_usage(output).free) < needed:
+        raise OSError(f"{output} has {free} bytes left, and {needed} are needed")
     if directories is not None:
         for row in directories.toLocalIterator():
             os.makedirs(paths.inside(output, row["path"]), exist_ok=True)
@@ -266,7 +276,28 @@ def list_files(dataset: Dataset) -> DataFrame:
 
 
 def inspect_dataset(dataset: Dataset) -> DataFrame:
-    return chunking.inspect(dataset.files, dataset.file_chunks, dataset.chunks.select("packed_size")).join(dataset.manifest.select("profile", "goal", "chunk_size", "format_major", "format_minor"), F.lit(True))
+    """One row of totals and settings, and whether the tables are those that were sealed."""
+    totals = chunking.inspect(dataset.files, dataset.file_chunks, dataset.chunks.select("packed_size"))
+    return totals.join(dataset.manifest.select("profile", "goal", "chunk_size", "format_major", "format_minor"), F.lit(True)).withColumn("seal", F.lit(seal_status(dataset)))
+
+
+def seal_of(dataset: Dataset) -> DataFrame:
+    """(name, rows, digest) of all tables. Payloads are left out: a chunk's id tells its bytes, and `damage` checks that."""
+    parts = [table_digest(t.drop("payload")).select(F.lit(name).alias("name"), "rows", "digest") for name, t in dataset.tables.items() if name in TABLES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def seal_status(dataset: Dataset) -> str:
+    """intact, broken, or none where there is no seal: of tables in memory, or from before there were seals."""
+    if dataset.path is None:
+        return "none"
+    fs, at = _hadoop(dataset.spark, f"{dataset.path}/{SEAL}")
+    if not fs.exists(at):
+        return "none"
+    return "intact" if {tuple(r) for r in dataset.spark.read.parquet(f"{dataset.path}/{SEAL}").collect()} == {tuple(r) for r in seal_of(dataset).collect()} else "broken"
 
 
 def table_digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.paths import DEFAULT_EXCLUDES, normalize_path
 
-LISTED = "disk string, path string, size long, mode int, mtime_ns long"
+LISTED = "disk string, path string, size long, mode int, mtime_ns long, ctime_ns long, ino long"
 
 
 @dataclass
@@ -61,6 +61,15 @@ def walk(inputs: Sequence[str], *, profile: str = "general", exclude: Sequence[s
     """
     patterns = [*(() if include_all or profile != "source" else DEFAULT_EXCLUDES), *exclude]
     kept_out = {os.path.realpath(p) for p in reserved}
+    kept_nodes = {(s.st_dev, s.st_ino) for s in (os.stat(p) for p in reserved if os.path.exists(p))}
+
+    def is_reserved(disk: str) -> bool:
+        """By its real path, or as another name of the same node."""
+        if os.path.realpath(disk) in kept_out:
+            return True
+        info = os.stat(disk) if kept_nodes and os.path.exists(disk) else None
+        return info is not None and (info.st_dev, info.st_ino) in kept_nodes
+
     out, names = Catalog(), _Names()
 
     def add(disk: str, path: str) -> None:
@@ -74,7 +83,7 @@ def walk(inputs: Sequence[str], *, profile: str = "general", exclude: Sequence[s
         for entry in sorted(os.scandir(disk), key=lambda e: e.name):
             inner, tail = normalize_path(f"{path}/{entry.name}"), f"{below}/{entry.name}".lstrip("/")
             skip = (entry.is_symlink() and not follow_symlinks) or _fits(tail, patterns) or _fits(inner, [p for p in patterns if "/" in p or "*" in p])
-            if skip or os.path.realpath(entry.path) in kept_out:
+            if skip or is_reserved(entry.path):
                 out.excluded.append(inner)
             elif entry.is_dir():
                 descend(entry.path, inner, tail)
@@ -90,7 +99,7 @@ def walk(inputs: Sequence[str], *, profile: str = "general", exclude: Sequence[s
         if os.path.islink(source) and not follow_symlinks:
             out.excluded.append(name)
         elif os.path.isfile(source):
-            if os.path.realpath(source) in kept_out:
+            if is_reserved(source):
                 raise ValueError(f"the output cannot be an input: {source}")
             if not include or _fits(name, include):
                 add(source, name)
@@ -103,22 +112,26 @@ def walk(inputs: Sequence[str], *, profile: str = "general", exclude: Sequence[s
 
 def catalog_tables(spark: SparkSession, catalog: Catalog) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(listing, directories, excluded) as DataFrames."""
-    rows = [(os.path.abspath(d), p, s.st_size, s.st_mode & 0o777, s.st_mtime_ns) for d, p, s in catalog.files]
+    rows = [(os.path.abspath(d), p, s.st_size, s.st_mode & 0o777, s.st_mtime_ns, s.st_ctime_ns, s.st_ino) for d, p, s in catalog.files]
     listing = spark.createDataFrame(rows, LISTED)
     return listing, spark.createDataFrame([(d,) for d in catalog.directories], "path string"), spark.createDataFrame([(e,) for e in catalog.excluded], "path string")
 
 
 def read_contents(listing: DataFrame) -> DataFrame:
-    """(path, content, mode); a file that changed since it was listed is an error."""
+    """(path, content, mode); a file that is another than when it was listed, or changed since, is an error.
+
+    Nodes are compared by inode and times; device numbers differ from host to host.
+    """
 
     def read(batches):
         for batch in batches:
-            for disk, path, mode, size, mtime in zip(*(batch[c].to_pylist() for c in ("disk", "path", "mode", "size", "mtime_ns")), strict=True):
+            for disk, path, mode, *listed in zip(*(batch[c].to_pylist() for c in ("disk", "path", "mode", "size", "mtime_ns", "ctime_ns", "ino")), strict=True):
                 with open(disk, "rb") as f:
                     before = os.fstat(f.fileno())
                     data = f.read()
                     after = os.fstat(f.fileno())
-                if (before.st_size, before.st_mtime_ns) != (size, mtime) or after.st_mtime_ns != mtime or len(data) != size:
+                same = all([s.st_size, s.st_mtime_ns, s.st_ctime_ns, s.st_ino] == listed for s in (before, after))
+                if not same or len(data) != listed[0]:
                     raise OSError(f"{disk} changed while it was read")
                 yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([data], pa.binary()), "mode": pa.array([mode], pa.int32())})
 

@@ -102,6 +102,42 @@ def test_damaged_bytes(spark, packed):
         store.extract(bad).collect()
 
 
+def test_seals(spark, packed, tmp_path):
+    d = store.open_dataset(spark, packed)
+    assert store.seal_status(d) == "intact" and store.inspect_dataset(d).first().seal == "intact"
+    assert store.seal_status(store.Dataset(spark, d.tables)) == "none"
+    changed = store.Dataset(spark, d.tables | {"files": d.files.withColumn("reason", F.lit("x"))}, packed)
+    assert store.seal_status(changed) == "broken"
+    with pytest.raises(OSError, match="bytes left"):
+        store.write_tree(store.extract(d), str(tmp_path / "full"), needed=1 << 60)
+
+
+def test_wide_integers(spark):
+    from quern.operators import columns
+
+    values = {"twenty": [f"{10**19 + 7 * i * i}" for i in range(50)], "falling": ["9" * 45, "5"], "wide": [f"{10**36 + i}" for i in range(9)]}
+    for name, want in (("twenty", "delta"), ("falling", "plain"), ("wide", "delta")):
+        df = spark.createDataFrame(list(enumerate(values[name])), "ordinal long, c string")
+        assert columns.infer(df, "ordinal", ["c"]).first().encoding == want
+        if want == "delta":
+            steps = columns.differences(df, "ordinal", "c").rows().orderBy("ordinal").collect()
+            n = list(map(int, values[name]))
+            assert [int(r.n) for r in steps] == n and [int(r.d) for r in steps[1:]] == [b - a for a, b in zip(n, n[1:])]
+            back = columns.undelta(steps[0].n, columns.differences(df, "ordinal", "c").rows()).orderBy("ordinal").collect()
+            assert [int(r.n) for r in back] == n
+        else:
+            with pytest.raises(ValueError):
+                columns.differences(df, "ordinal", "c")
+
+
+def test_long_runs_unfold_in_pieces(spark, monkeypatch):
+    from quern.operators import columns
+
+    monkeypatch.setattr(columns, "PIECE", 7)
+    runs = spark.createDataFrame([(0, "a", 20), (1, "b", 7), (2, "c", 1), (3, "d", 0)], "run long, value string, length long")
+    assert [tuple(r) for r in columns.rle_decode(runs).orderBy("i").collect()] == list(enumerate("a" * 20 + "b" * 7 + "c"))
+
+
 def test_spans(spark, packed):
     placed = chunking.chunk_offsets(store.open_dataset(spark, packed).chunks.join(chunking.owners(store.open_dataset(spark, packed).file_chunks.withColumn("raw_size", F.lit(0))).drop("raw_size"), "chunk_id")).cache()
     end = 16 + placed.agg(F.sum(F.col("packed_size") + 56)).first()[0]
@@ -134,8 +170,8 @@ def test_tables_as_files(spark):
     assert {r.path: bytes(r.content) for r in store.extract(d).collect()} == {"t.csv": b"timestamp,value,ok,status\n1,1.5,true,up\n2,1.5,false,up\n", "x.txt": b"x"}
     assert constraints.verify(d).collect() == []
     e = store.pack(frame(spark, {"t.CSV": CSV}), store.Options(profile="telemetry"))
-    assert bytes(store.extract(e).first().content) == CSV and "timestamp column timestamp" not in e.files.first().transform.detected
-    assert e.files.first().transform.applied == ["exact byte preservation"]
+    assert bytes(store.extract(e).first().content) == CSV and "timestamp: timestamp" not in e.files.first().transform.detected
+    assert e.files.first().transform.applied == ["kept byte for byte"]
 
 
 @pytest.mark.parametrize(("values", "want"), [(["1", "2", "3"], ("integer", "delta")), (["0", "1", "1"], ("boolean", "bit-pack")), (["007", "5"], ("integer", "plain")), (["", ""], ("string", "plain")), ([str(i) + "x" for i in range(17)], ("string", "plain")), ([f"v{i % 20}" for i in range(40)], ("string", "rle")), (["1.5", "nan"], ("float", "ieee-754")), (["True", "1"], ("boolean", "bit-pack"))])
@@ -229,10 +265,11 @@ def test_command_line(spark, tmp_path, capsys):
     src.mkdir()
     (src / "a.txt").write_text("hello " * 2000)
     d, out = str(tmp_path / "set"), str(tmp_path / "out")
-    for argv in (["pack", str(src), "-o", d, "--chunk-size", "4k"], ["list", d, "--json"], ["inspect", d], ["verify", d], ["verify", d, "--quick"], ["explain", d], ["compatibility", d], ["unpack", d, "-o", out], ["extract", d, "in/a.txt", "-o", out, "--overwrite"], ["verify-deterministic", str(src)], ["doctor"]):
+    for argv in (["pack", str(src), "-o", d, "--chunk-size", "4k"], ["list", d, "--json"], ["inspect", d], ["verify", d], ["verify", d, "--quick"], ["explain", d], ["compatibility", d], ["unpack", d, "-o", out], ["extract", d, "in/a.txt", "-o", out, "--overwrite"], ["verify-deterministic", d, d], ["benchmark", str(src), "--repeats", "1", "--markdown", str(tmp_path / "b.md")], ["doctor"]):
         assert cli.main(argv) == 0, (argv, capsys.readouterr())
     assert (tmp_path / "out/in/a.txt").read_text() == "hello " * 2000
     assert cli.main(["pack", str(src), "-o", d]) == 2 and cli.main(["verify", str(tmp_path)]) == 2
+    assert "raw-payload" in (tmp_path / "b.md").read_text()
     assert cli.size("2k") == 2048 and os.path.isdir(d)
 
 
