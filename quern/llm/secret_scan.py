@@ -18,7 +18,8 @@ distance as a condition: a part enters its own cells, its partner those within
 reach, so a row meets only parts of a few hundred characters. Only parts are
 shuffled, and texts that are alike send theirs once.
 
-DataFrame functions only; no Python runs on the executors.
+DataFrame functions only; no Python runs on the executors. A text's matches are
+placed by sums over blocks, so work grows with their number.
 
 Defined results: a null text is empty; ids may be null or repeated; every row
 gets its own result; an empty table gives an empty result; other columns are not
@@ -46,29 +47,54 @@ SHORT_HEX = r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])[0-9a-f]{16,31}(?![A-Za-z0-9])"
 ENDPOINT = r"""(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#"'<>]+"""
 
 
+BLOCK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once: what a lambda takes from outside is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
+def _before(numbers: Column) -> Column:
+    """For each number the sum of those before it: by sums of blocks, and sums within a block."""
+
+    def by_block(n: Column, sums: Column, block: Column) -> Column:
+        low = block * BLOCK
+        base, own = _sum(F.slice(sums, F.lit(1), block)), F.slice(n, low + 1, F.lit(BLOCK))
+        return _let(base, lambda b: _let(own, lambda o: F.transform(o, lambda _, i: b + _sum(F.slice(o, F.lit(1), i)))))
+
+    def of(n: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(n) / BLOCK) - 1, F.lit(0)).cast("int"))
+        sums = F.transform(blocks, lambda k: _sum(F.slice(n, k * BLOCK + 1, F.lit(BLOCK))))
+        return _let(sums, lambda s: F.flatten(F.transform(blocks, lambda k: by_block(n, s, k))))
+
+    return _let(numbers, of)
+
+
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """All matches as array<struct<start, kind, end>>; `keep` is a condition on the matched string.
 
     The lengths of the pieces between the matches give the positions.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("found"))
-    struct = "struct<start: bigint, kind: int, end: bigint, found: string>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{struct}>").alias("spans"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.char_length(pair["piece"])
-        end = begin + F.char_length(pair["found"])
-        one = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), pair["found"].alias("found"))
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], one).alias("spans"))
-
-    matched = F.slice(pairs, 1, F.size(found))
-    spans = F.aggregate(matched, start, step, lambda acc: acc["spans"])
-    if keep is not None:
-        spans = F.filter(spans, lambda s: keep(s["found"]))
-    spans = F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"]))
     none = F.array().cast("array<struct<start: bigint, kind: int, end: bigint>>")
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+
+    def placed(matches: Column, gaps: Column) -> Column:
+        steps = F.zip_with(gaps, matches, lambda gap, m: gap + F.char_length(m))
+        spans = F.zip_with(F.zip_with(gaps, _before(steps), lambda gap, at: gap + at), matches, lambda at, m: F.struct(at.alias("start"), m.alias("found")))
+        if keep is not None:
+            spans = F.filter(spans, lambda s: keep(s["found"]))
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (s["start"] + F.char_length(s["found"])).alias("end")))
+
+    def cut(matches: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda x: F.char_length(x).cast("long"))
+        return _let(gaps, lambda g: placed(matches, g))
+
+    return F.when(text.rlike(pattern), _let(found, cut)).otherwise(none)
 
 
 def base_spans(text: Column) -> dict[str, Column]:

@@ -55,6 +55,13 @@ def test_equals_brute_force(spark, reach):
     assert sum(bool(x[2]) for x in got) > 20
 
 
+def test_many_matches_in_one_text(spark):
+    text = " é ".join(f"token=value{i:07d}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, "\n".join([text] * 3))], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r["assign"]] for r in S.scan(df).collect()}
+    assert got[1] == base(text) and len(got[2]) == 60_000 and got[2][-1] == base("\n".join([text] * 3))[-1]
+
+
 def test_empty_table(spark):
     assert S.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
