@@ -7,13 +7,14 @@ size, whole texts at a time, so memory does not follow the batch size.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+from quern.functions.batches import release  # noqa: F401 (the operators take it from here)
+
 SLICE_BYTES = 1 << 20
 
 #: Bytes that belong to a word when words are split at ASCII white space.
@@ -35,19 +36,6 @@ _M2 = np.uint64(0x94D049BB133111EB)
 _LONG_WORD = 256
 
 
-try:
-    _TRIM = ctypes.CDLL(None).malloc_trim
-except (AttributeError, OSError):  # another C library
-    _TRIM = None
-
-
-def release() -> None:
-    """Gives memory that a batch has used, and that allocators keep, back to the system: workers live on, idle or for another task."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
-
-
 def as_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one string array in which a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
