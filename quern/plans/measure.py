@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.batches import sliced
 from quern.operators import chunking, codecs
 from quern.plans import store
 
@@ -53,8 +54,8 @@ def sweep(files: DataFrame, settings: tuple[tuple[str, int | None], ...] = SWEEP
 
     def run(batches):
         sums = {_named(*s): [0, 0, 0.0, 0.0] for s in settings}
-        for batch in batches:
-            for raw in batch["content"].to_pylist():
+        for rows in sliced(b["content"] for b in batches):
+            for (raw,) in rows:
                 raw = raw or b""
                 for codec, level in settings:
                     size, encode, decode = _trial(raw, codec, level, repeats)

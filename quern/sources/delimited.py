@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.batches import sliced
 from quern.functions.table_text import parse_csv
 
 
@@ -18,8 +19,8 @@ def csv_cells(files: DataFrame) -> DataFrame:
     """(path, ordinal, position, name, value) of all cells of CSV files (path, content)."""
 
     def cells(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+        for held in sliced((b["path"], b["content"]) for b in batches):
+            for path, content in held:
                 header, rows = parse_csv(content or b"")
                 for lo in range(0, len(rows), 4096):
                     part = rows[lo : lo + 4096]
