@@ -203,7 +203,7 @@ def damage(d) -> DataFrame:
     from quern.sources.staging import written
 
     refs = d.file_chunks.select("path", "ordinal", "chunk_id")
-    parts = written(store.restored_chunks(d, refs), "restored")
+    parts = written(store.restored_chunks(d, refs), "restored", compression="zstd")
     broken = parts.where(F.col("problem").isNotNull() | F.col("raw").isNull()).select("chunk_id", F.coalesce("problem", F.lit("missing")).alias("problem")).distinct()
     whole = chunking.file_digests(parts.where("raw IS NOT NULL").select("path", "ordinal", "raw"))
     nothing = F.sha2(F.lit(b""), 256)
