@@ -65,6 +65,60 @@ def test_encoder_equals_library(monkeypatch):
     assert encoder(texts[:50]) == got[:50] and encoder(texts[20:]) == got[20:]
 
 
+class Counted:
+    """A library or model whose calls are counted by what they are given."""
+
+    def __init__(self, of, calls):
+        self.of, self.calls = of, calls
+
+    @property
+    def model(self):
+        return Counted(self.of.model, self.calls)
+
+    def tokenize(self, piece):
+        self.calls.append(1)
+        return self.of.tokenize(piece)
+
+    def encode(self, text, **options):
+        self.calls.append(1)
+        return self.of.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls += texts
+        return self.of.encode_batch_fast(texts, **options)
+
+
+def test_new_words_are_encoded_together():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abehinorstuäéñ") for _ in range(rng.randrange(9, 14))) + rng.choice(["", ",", ".", "&&&", ".\n\u00c9t"])
+    texts = [" ".join(word() for _ in range(100)) for _ in range(60)]
+    encoder, calls = K.Encoder(PATH), []
+    encoder.library = Counted(encoder.library, calls)
+    if hasattr(encoder, "merges"):
+        encoder.merges = Counted(encoder.merges, calls)
+    got = encoder(texts)
+    assert len(calls) < 300  # of 6,000 words
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == library_ids(texts)
+
+
+def test_words_seen_once_take_no_room():
+    encoder = K.Encoder(PATH)
+    for k in range(3):
+        encoder([" ".join(f"often{i} once{k}x{i}" for i in range(500))])
+    assert sum(w.startswith("often") for w in encoder.after) >= 499 and sum("once" in w for w in encoder.after) < 20
+
+
+def test_places_where_words_are_cut():
+    rng = random.Random(3)
+    bits = ["a", "É", "ñ", "ß", "x", "7", "'", "'s", "n't", ".", "!?", "'.", "…", "日", "٣", "ⅷ", "\n", "\n\n", " ", "  ", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u180e", "\u200b", "\u2028", "\u3000", "\ufeff", "\x00", "e\u0301", "ª", "×"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(20_000)]
+    encoder = K.Encoder(PATH)
+    want = library_ids(texts)
+    for k in (20_000, 500):  # known words and new ones
+        got = [x for i in range(0, len(texts), k) for x in encoder(texts[i : i + k])]
+        assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == want
+
+
 def expected(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     ids = library_ids([t or "" for _, t in order])
