@@ -14,7 +14,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, mixing, near_copies, quality_rules, simhash_dedup, token_files
+from quern.llm import decontaminate, mixing, near_copies, quality_rules, simhash_dedup, token_files  # noqa: F401 (tests take the operators from here)
 from quern.llm._store import written
 from quern.sources import staging
 
@@ -49,8 +49,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group; of those left, likewise one of each group of near copies."""
-    firsts = written(simhash_dedup.one_of_each(docs.select(*COLUMNS)), "firsts")
-    return near_copies.without_near_copies(firsts)
+    return near_copies.firsts_without_near_copies(docs.select(*COLUMNS))
 
 
 @_stage

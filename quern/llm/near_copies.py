@@ -38,14 +38,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm._components import components
 from quern.llm._store import exactly_once, row_keys, shuffle_partitions, unused, written
 from quern.llm._text import ASCII_LOWER, NON_SPACE, as_text, byte_view, find_words, hash_ranges, mix, release, rolling, slices
-from quern.llm.simhash_dedup import majority, shard_groups
+from quern.llm.simhash_dedup import fingerprint, firsts, majority, shard_groups
 
 SIMILARITY, WIDTH = 0.8, 5
 WORDS = 5
@@ -253,20 +253,24 @@ def near_copies(members: DataFrame, similarity: float = SIMILARITY, piece: int =
     found, turn = [], 0
     while True:
         shingles = F.length("set") / 8
-        sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / piece), F.ceil(F.sum(shingles) / PIECE_SHINGLES)).cast("long").alias("pieces"), F.min(order)["key"].alias("first"))
-        at = F.when((F.col("pieces") <= 1) | (F.col("key") == F.col("first")), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("key", F.lit(turn)), "pieces"))
-        dealt = written(members.join(sizes, "root").select("root", "key", "id", "set", "pieces", at.alias("piece"), F.lit(False).alias("lead")), "pieces")
-        heads = dealt.where("piece = 0").repartition(shuffle_partitions(spark), "root").sortWithinPartitions("root", F.col("id").isNull(), "id", "key")
-        settled = written(heads.select("root", "key", "lead", "set").mapInArrow(_settle(similarity), "key long, gone boolean"), "settled")
+        sizes = written(members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / piece), F.ceil(F.sum(shingles) / PIECE_SHINGLES)).cast("long").alias("pieces"), F.min(order)["key"].alias("first")), "sizes")
+        heads, large = members, sizes.where("pieces > 1")
+        split = bool(large.limit(1).count())
+        if split:  # only groups in pieces are staged anew
+            at = F.when(F.col("key") == F.col("first"), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("key", F.lit(turn)), "pieces"))
+            dealt = written(members.join(large, "root").select("root", "key", "id", "set", "pieces", at.alias("piece"), F.lit(False).alias("lead")), "pieces")
+            heads = members.join(sizes.where("pieces <= 1"), "root", "left_semi").unionByName(dealt.where("piece = 0").select(*members.columns))
+        heads = heads.repartition(shuffle_partitions(spark), "root").sortWithinPartitions("root", F.col("id").isNull(), "id", "key")
+        settled = written(heads.select("root", "key", F.lit(False).alias("lead"), "set").mapInArrow(_settle(similarity), "key long, gone boolean"), "settled", gather=True)
         found.append(settled.where("gone").select("key"))
-        rest = dealt.where("piece > 0")
-        if not rest.limit(1).count():
+        if not split or not dealt.where("piece > 0").limit(1).count():
             break
-        stay = dealt.where("piece = 0 AND pieces > 1").join(settled.where("NOT gone").select("key"), "key")
+        rest = dealt.where("piece > 0")
+        stay = dealt.where("piece = 0").join(settled.where("NOT gone").select("key"), "key")
         stay = stay.select("root", "key", "set", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(True).alias("lead"))
         both = rest.select("root", "key", "set", "piece", "lead").unionByName(stay)
         both = both.repartition(shuffle_partitions(spark), "root", "piece").sortWithinPartitions("root", "piece", F.desc("lead"), "key")
-        judged = written(both.mapInArrow(_compare(similarity), "key long, gone boolean"), "compared")
+        judged = written(both.mapInArrow(_compare(similarity), "key long, gone boolean"), "compared", gather=True)
         found.append(judged.where("gone").select("key"))
         members = written(rest.join(judged.where("NOT gone").select("key"), "key").select("root", "key", "id", "set"), "members")
         turn += 1
@@ -276,15 +280,14 @@ def near_copies(members: DataFrame, similarity: float = SIMILARITY, piece: int =
     return out
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
-    """`docs` without rows that are as similar to a row of their group that stays."""
+def _without(docs: DataFrame, rows: DataFrame, among: DataFrame, id_col: str, text_col: str, similarity: float, piece: int) -> DataFrame:
+    """`docs` less near copies, of the rows whose keys are `among`; `rows` (id, key, key2, row, print) are staged, one for each of `docs`."""
     text = F.col(text_col).cast("string")
     names = unused(docs, "key", "key2")
     keys = [k.alias(n) for k, n in zip(row_keys(id_col, text), ("key", "key2"), strict=True)]
-    rows = written(docs.select(F.col(id_col).alias("id"), *keys, F.monotonically_increasing_id().alias("row"), _long_fingerprint(text).alias("print")), "long-prints")
     n = rows.count()
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "key2", "row")).alias("first")
-    nodes = written(rows.groupBy("print").agg(first).select(F.substring("print", 1, 8 * WORDS).alias("print"), "first.row", "first.key", "first.key2", "first.id"), "nodes", n)
+    nodes = written(among.groupBy("print").agg(first).select(F.substring("print", 1, 8 * WORDS).alias("print"), "first.row", "first.key", "first.key2", "first.id"), "nodes", n)
     groups = candidate_groups(nodes.select(F.col("row").alias("key"), "print"), similarity)
     linked = written(nodes.join(groups.withColumnRenamed("node", "row"), "row").select("row", "key", "key2", "id", "root"), "linked", n)
     own = docs.select(*keys, text.alias("text")).join(linked.hint("merge"), ["key", "key2"]).dropDuplicates(["row"])
@@ -295,3 +298,23 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keep = written(kept.select(*[F.col(k).alias(n) for k, n in zip(("key", "key2"), names, strict=True)], "repeated"), "kept", n)
     own_keys = [k.alias(n) for k, n in zip(row_keys(id_col, text), names, strict=True)]
     return exactly_once(docs.select("*", *own_keys), keep, names).select(*docs.columns)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(id, key, key2, row, print) and `more` of each of `docs`, staged."""
+    text = F.col(text_col).cast("string")
+    keys = [k.alias(n) for k, n in zip(row_keys(id_col, text), ("key", "key2"), strict=True)]
+    return written(docs.select(F.col(id_col).alias("id"), *keys, F.monotonically_increasing_id().alias("row"), _long_fingerprint(text).alias("print"), *more), "long-prints", gather=True)
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
+    """`docs` without rows that are as similar to a row of their group that stays."""
+    rows = _rows(docs, id_col, text_col)
+    return _without(docs, rows, rows, id_col, text_col, similarity, piece)
+
+
+def firsts_without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
+    """The rows of `without_near_copies` over those of `simhash_dedup.one_of_each`, which are told by keys: their texts are not staged."""
+    rows = _rows(docs, id_col, text_col, fingerprint(text_col).alias("fp"))
+    among = rows.join(firsts(rows).hint("merge"), ["key", "key2"])
+    return _without(docs, rows, among, id_col, text_col, similarity, piece)

@@ -355,7 +355,7 @@ def link_groups(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard_size: int = SHARD_SIZE, split: int = SPLIT) -> DataFrame:
     """One row per text: id, fp (signed) and component_id, the smallest id within reach."""
-    rows = written(docs.select(F.col(id_col).alias("id"), fingerprint(text_col).alias("fp")), "fingerprints")
+    rows = written(docs.select(F.col(id_col).alias("id"), fingerprint(text_col).alias("fp")), "fingerprints", gather=True)
     groups = link_groups(rows, radius, shard_size, split)
     smallest = rows.groupBy("fp").agg(F.min("id").alias("least"))
     known = written(smallest.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "members", rows.count())
@@ -364,6 +364,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def firsts(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(key, key2) of the row with the smallest id, null last, of each group in the staged `rows` (id, key, key2, fp)."""
+    groups = link_groups(rows, radius)
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "key2")).alias("row")
+    smallest = rows.groupBy("fp").agg(first)
+    known = smallest.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return known.groupBy("root").agg(F.min("row").alias("row")).select("row.key", "row.key2")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """`docs` with one row of each group: that with the smallest id, null last.
 
@@ -371,14 +380,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     names = unused(docs, "key", "key2")
     keys = row_keys(id_col, F.col(text_col).cast("string"))
-    rows = written(docs.select(F.col(id_col).alias("id"), keys[0].alias("key"), keys[1].alias("key2"), fingerprint(text_col).alias("fp")), "fingerprints")
-    groups = link_groups(rows, radius)
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "key2")).alias("row")
-    smallest = rows.groupBy("fp").agg(first)
-    known = smallest.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    chosen = known.groupBy("root").agg(F.min("row").alias("row")).select("row.key", "row.key2")
+    rows = written(docs.select(F.col(id_col).alias("id"), keys[0].alias("key"), keys[1].alias("key2"), fingerprint(text_col).alias("fp")), "fingerprints", gather=True)
     times = rows.groupBy("key", "key2").agg((F.count(F.lit(1)) > 1).alias("repeated"))
-    keep = written(chosen.join(times, ["key", "key2"]).withColumnsRenamed(dict(zip(("key", "key2"), names, strict=True))), "kept", rows.count())
+    keep = written(firsts(rows, radius).join(times, ["key", "key2"]).withColumnsRenamed(dict(zip(("key", "key2"), names, strict=True))), "kept", rows.count())
     return exactly_once(docs.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)]), keep, names).select(*docs.columns)
 
 

@@ -4,7 +4,11 @@ import re
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from quern.llm import near_copies as N
+from quern.llm._store import written
+from quern.llm.simhash_dedup import one_of_each
+from quern.sources import staging
 
 
 def sets(text):
@@ -124,3 +128,40 @@ def test_hot_shards_are_split(spark):
     assert most <= 700 < max(r["count"] for r in N.deal(prints, n, chosen).groupBy("shard").count().collect())
     groups = N.candidate_groups(prints, split=500).collect()
     assert len(groups) == n and {r.root for r in groups} == {0}
+
+
+def test_firsts_without_near_copies_are_both_steps(spark):
+    rng = random.Random(7)
+    rows = corpus(rng)
+    rows = [(k, t, i % 3) for i, (k, t) in enumerate(rows + [(k + 1000, t) for k, t in rows[::4]] + [(None, rows[9][1]), (None, None), (4, rows[4][1]), (4, rows[4][1])])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    both = N.firsts_without_near_copies(df).collect()
+    apart = N.without_near_copies(written(one_of_each(df), "firsts")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in both) == sorted((r.doc_id, r.text or "") for r in apart)
+    assert len(both) < len(rows) / 3 and N.firsts_without_near_copies(df.limit(0)).collect() == []
+
+
+def test_stage_stages_no_texts_and_few_files(spark):
+    df = spark.createDataFrame([(k, t, "en", "s", 5) for k, t in corpus(random.Random(8))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = written(df.repartition(12), "docs")
+    before = set(staging.staged(spark))
+    corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    own = [p for p in staging.staged(spark) if p not in before]
+    assert own and not any("text" in spark.read.parquet(p).columns for p in own)
+    narrow = [len(spark.read.parquet(p).inputFiles()) for p in own if "prints-" in p or "settled-" in p]
+    assert len(narrow) >= 3 and max(narrow) <= 2
+
+
+def test_only_groups_in_pieces_are_staged_anew(spark):
+    hashes = [np.arange(100, dtype=np.uint64) + np.uint64(i) for i in range(20)]
+    rows = [(1, i, i, x.tobytes()) for i, x in enumerate(hashes)] + [(2, 100, 100, hashes[0].tobytes()), (2, 101, 101, hashes[1].tobytes()), (3, 102, 102, hashes[0].tobytes()), (3, 103, 103, b"")]
+    members = spark.createDataFrame(rows, "root long, key long, id long, set binary")
+    before = set(staging.staged(spark))
+    gone = {r.key for r in N.near_copies(members, piece=8).collect()}
+    pieces = [p for p in staging.staged(spark) if p not in before and "/pieces-" in p]
+    assert pieces and all({r.root for r in spark.read.parquet(p).collect()} == {1} for p in pieces)
+    stay = [i for i in range(20) if i not in gone]
+    assert 0 in stay and 101 in gone and not gone & {100, 102, 103}
+    assert all(any(len(np.intersect1d(hashes[i], hashes[j])) >= 0.8 * len(np.union1d(hashes[i], hashes[j])) for j in stay) for i in gone if i < 20)
+    assert all(len(np.intersect1d(hashes[i], hashes[j])) < 0.8 * len(np.union1d(hashes[i], hashes[j])) for i in stay for j in stay if i < j)
